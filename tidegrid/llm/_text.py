@@ -99,7 +99,7 @@ def shingles(hashes: np.ndarray, begins: np.ndarray, k: int) -> Iterator[np.ndar
         elif m:
             whole = np.full(1, _GRAM[k + m], np.uint64)
             for j in range(m):
-                whole += hashes[b + j] * _GRAM[j]
+                whole += hashes[b + j : b + j + 1] * _GRAM[j]
             yield mix(whole)
         else:
             yield np.zeros(0, np.uint64)

@@ -7,10 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm import linededup
+from tidegrid.llm import bpe, linededup, minhash
 from tidegrid.llm._store import table
 
 
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    """path: the vocabulary file; by default that of the installed public_tokenizers package."""
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path("byte_bpe_50k.json")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = bpe.round_trip(docs, path)
+    n_tokens = (F.octet_length("ids") / 4).cast("long").alias("n_tokens")
+    return out.select("doc_id", n_tokens, F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = linededup.dedup_lines(docs)
@@ -31,6 +47,8 @@ FROM m GROUP BY doc_id
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_minhash_near_dedup": op3_minhash_near_dedup,
+    "op6_bpe": op6_bpe,
     "op10_line_dedup": op10_line_dedup,
 }
 
