@@ -21,6 +21,8 @@ _LOWER[65:91] += 32
 _BYTE_LOWER = _BYTE[_LOWER]
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[list(SPACE)] = True
+#: Everything in ASCII but letters and digits.
+PUNCTUATED = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 _BASE = 0x9E3779B97F4A7C15
 _GRAM = [np.uint64(int(x)) for x in _rng.integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)]
 _powers = np.ones(1, np.uint64)
@@ -62,12 +64,12 @@ def chunks(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, int, np.nd
         at = end
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The hash of each maximal run of bytes other than white space, A-Z lowered, and for each text the index of its first word (one more at the end)."""
+def words(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = _IS_SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each maximal run of bytes not marked in between (white space by default), A-Z lowered, and for each text the index of its first word (one more at the end)."""
     n = len(data)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    word = ~_IS_SPACE[data]
+    word = ~between[data]
     first = word.copy()
     first[1:] &= ~word[:-1]
     inner = offsets[(offsets > 0) & (offsets < n)]

@@ -4,17 +4,79 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm import bpe, linededup, minhash
-from tidegrid.llm._store import table
+from tidegrid.llm import bpe, linededup, minhash, mixing, toxicity, winnow
+from tidegrid.llm._store import settle, table, texts
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    predicted = (F.col("score") >= 0.5).cast("int").alias("predicted")
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", predicted)
 
 
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+DOMAINS = ("web", "books", "forum", "reference")
+MIX_WEIGHTS = {
+    "domain": {"web": 40, "books": 30, "forum": 20, "reference": 10},
+    "lang": {"en": 50, "de": 20, "fr": 20, "es": 10},
+}
+
+
+def source_domain() -> Column:
+    """The domain of a source named src<number>: by the number's remainder by four; other sources are in the domain other."""
+    number = F.try_to_number(F.regexp_extract(F.coalesce("source", F.lit("")), "^src([0-9]{1,9})$", 1), F.lit("999999999"))
+    return F.coalesce(F.get(F.array(*map(F.lit, DOMAINS)), (number % 4).cast("int")), F.lit("other"))
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    weighed = settle(mixing.weigh(table(spark, sf_dir, "documents"), source_domain()), "weighed")
+    return mixing.mix(weighed, weights=MIX_WEIGHTS)
+
+
+def _level_sql(level: str, parents: list[str]) -> str:
+    """One level of the budget's way down: a table s_<level> from the leaves and the parent's table."""
+    cases = " ".join(f"WHEN {level} = '{k}' THEN {w}" for k, w in MIX_WEIGHTS.get(level, {}).items())
+    weight = f"CASE {cases} ELSE 1 END" if cases else "1"
+    names = ", ".join([*parents, level])
+    by = f"PARTITION BY {', '.join(parents)}" if parents else ""
+    total = f"JOIN (SELECT {', '.join(parents)}, share AS total FROM s_{parents[-1]}) p USING ({', '.join(parents)})" if parents else ", budget"
+    return f"""
+c_{level} AS (SELECT *, {weight} AS w FROM (SELECT {names}, sum(tokens) * 4 AS cap FROM leaf GROUP BY ALL) {total}),
+f_{level} AS (SELECT *, cap * sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+    <= (total - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) * w AS full_
+  FROM c_{level} WINDOW o AS ({by} ORDER BY cap / w, {level})),
+l_{level} AS (SELECT *, total - coalesce(sum(cap) FILTER (full_) OVER ({by}), 0) AS left_, CASE WHEN full_ THEN 0 ELSE w END AS part FROM f_{level}),
+r_{level} AS (SELECT *, sum(part) OVER ({by} ORDER BY cap / w, {level} ROWS UNBOUNDED PRECEDING) AS run, sum(part) OVER ({by}) AS all_w FROM l_{level}),
+s_{level} AS (SELECT {names}, CAST(CASE WHEN full_ THEN cap ELSE (left_ * run) // all_w - (left_ * (run - part)) // all_w END AS BIGINT) AS share FROM r_{level}),"""
+
+
+SQL_OP4 = (
+    r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  CASE WHEN regexp_full_match(source, 'src[0-9]{1,9}') THEN ['web', 'books', 'forum', 'reference'][CAST(substr(source, 4) AS BIGINT) % 4 + 1] ELSE 'other' END AS domain,
+  CAST(len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS BIGINT) AS n_tokens FROM documents),
+leaf AS (SELECT domain, lang, source, sum(n_tokens) AS tokens FROM d GROUP BY ALL),
+budget AS (SELECT sum(tokens) AS total FROM leaf),"""
+    + _level_sql("domain", [])
+    + _level_sql("lang", ["domain"])
+    + _level_sql("source", ["domain", "lang"])
+    + """
+g AS (SELECT domain, lang, source, share // greatest(tokens, 1) AS epochs, share % greatest(tokens, 1) AS rest FROM leaf JOIN s_source USING (domain, lang, source)),
+m AS (SELECT *, md5('0:' || epochs || ':' || coalesce(CAST(doc_id AS VARCHAR), '')) AS turn FROM d JOIN g USING (domain, lang, source)),
+q AS (SELECT *, coalesce(sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY turn, n_tokens ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM m)
+SELECT doc_id, domain, lang, source, n_tokens, CAST(epochs + CASE WHEN rest > 0 AND ahead + n_tokens <= rest THEN 1 ELSE 0 END AS BIGINT) AS copies,
+  CAST(CASE WHEN ahead + n_tokens <= rest THEN 0 ELSE greatest(rest - ahead, 0) END AS BIGINT) AS cut_tokens FROM q
+"""
+)
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     """path: the vocabulary file; by default that of the installed public_tokenizers package."""
     if path is None:
@@ -27,6 +89,25 @@ def op6_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFr
     return out.select("doc_id", n_tokens, F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op9_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = texts(table(spark, sf_dir, "documents"))
+    paired = winnow.follow(winnow.winnowed(winnow.deal(docs), "text", "prints"), ["text", "prints"])
+    n = F.length("text")
+    swapped = F.floor(n / 4).cast("int")
+    start = F.substring("text", F.lit(1), n - swapped)
+    rest = F.coalesce(F.substring("next_text", F.lit(1), swapped), F.lit(""))
+    paired = paired.withColumns({"n_chars": n.cast("long"), "edited": F.concat(start, rest)})
+    both = winnow.winnowed(paired, "edited", "edited_prints")
+    for a in ("prints", "edited_prints", "next_prints"):
+        both = both.withColumn(f"{a}_hashes", winnow.hashes(a))
+    return both.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
+        winnow.rendered("prints").alias("fingerprint"), winnow.rendered("edited_prints").alias("edited_fingerprint"),
+        winnow.likeness("prints_hashes", "edited_prints_hashes").alias("near_edited"),
+        winnow.likeness("prints_hashes", "next_prints_hashes").alias("near_next"),
+    )
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = linededup.dedup_lines(docs)
@@ -47,11 +128,15 @@ FROM m GROUP BY doc_id
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
+    "op4_mixing": op4_mixing,
     "op6_bpe": op6_bpe,
+    "op9_winnow": op9_winnow,
     "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_mixing": SQL_OP4,
     "op10_line_dedup": SQL_OP10,
 }
