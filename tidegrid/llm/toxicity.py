@@ -60,39 +60,46 @@ def _buckets(bits: int):
     return run
 
 
-def fit_risk(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, size: int, steps: int = 200, rate: float = 0.1) -> Model:
-    """Proximal Adam steps on the non-negative risk with logistic loss; the L1 term follows the sampling error of word frequencies."""
-    n_pos, n_unl = len(positive), len(unlabelled)
-    if not n_pos or not n_unl or not 0 < prior < 1:
-        return Model(-np.inf if not n_pos else np.inf, np.zeros(size, np.float32))
-    rows = [*positive, *unlabelled]
-    flat = np.concatenate(rows)
-    seen, column, count = np.unique(flat, return_inverse=True, return_counts=True)
-    often = count[column] > 1
-    of = np.repeat(np.arange(len(rows)), [len(r) for r in rows])[often]
-    column = column[often]
-    is_pos = np.arange(len(rows)) < n_pos
-    w, b = np.zeros(len(seen)), float(np.log(prior / (1 - prior)))
-    m1, m2, c1, c2 = np.zeros(len(seen)), np.zeros(len(seen)), 0.0, 0.0
-    shrink = 0.5 * prior / np.sqrt(n_pos)
+def _descend(of: np.ndarray, column: np.ndarray, n: int, n_pos: int, prior: float, shrink: float, steps: int, rate: float) -> tuple[np.ndarray, float]:
+    """Proximal Adam steps on the non-negative risk with logistic loss; rows below n_pos are the positives."""
+    size, n_unl = int(column.max(initial=-1)) + 1, n - n_pos
+    is_pos = np.arange(n) < n_pos
+    w, b = np.zeros(size), float(np.log(prior / (1 - prior)))
+    m1, m2, c1, c2 = np.zeros(size), np.zeros(size), 0.0, 0.0
     for t in range(1, steps + 1):
-        f = b + np.bincount(of, w[column], len(rows))
+        f = b + np.bincount(of, w[column], n)
         up = 1 / (1 + np.exp(-np.clip(f, -60, 60)))  # slope of loss(-f)
-        loss_neg = np.logaddexp(0, f)
-        rest = loss_neg[~is_pos].mean() - prior * loss_neg[is_pos].mean()
+        loss = np.logaddexp(0, f)
+        rest = loss[~is_pos].mean() - prior * loss[is_pos].mean()
         slope = np.where(is_pos, -prior * up / n_pos, up / n_unl)
-        if rest < 0:
-            slope = -slope
-        else:
-            slope = slope + np.where(is_pos, -prior * (1 - up) / n_pos, 0)
-        g, gb = np.bincount(column, slope[of], len(seen)), slope.sum()
+        slope = -slope if rest < 0 else slope + np.where(is_pos, -prior * (1 - up) / n_pos, 0)
+        g, gb = np.bincount(column, slope[of], size), slope.sum()
         m1, m2, c1, c2 = 0.9 * m1 + 0.1 * g, 0.999 * m2 + 0.001 * g * g, 0.9 * c1 + 0.1 * gb, 0.999 * c2 + 0.001 * gb * gb
         pace = rate / (np.sqrt(m2 / (1 - 0.999**t)) + 1e-4)
         w = w - pace * m1 / (1 - 0.9**t)
         w = np.sign(w) * np.maximum(0, np.abs(w) - pace * shrink)
         b -= rate / (np.sqrt(c2 / (1 - 0.999**t)) + 1e-4) * c1 / (1 - 0.9**t)
+    return w, b
+
+
+def fit_risk(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, size: int, steps: int = 150, rate: float = 0.1, choosy: float = 0.1) -> Model:
+    """Two descents: one with an L1 term in proportion to the sampling error of word frequencies
+    chooses the words, one without it refits the chosen words, whose weights the term had held down."""
+    n_pos, n = len(positive), len(positive) + len(unlabelled)
+    if not n_pos or n_pos == n or not 0 < prior < 1:
+        return Model(-np.inf if not n_pos else np.inf, np.zeros(size, np.float32))
+    rows = [*positive, *unlabelled]
+    seen, column, count = np.unique(np.concatenate(rows), return_inverse=True, return_counts=True)
+    often = count[column] > 1
+    of, column = np.repeat(np.arange(n), [len(r) for r in rows])[often], column[often]
+    w, _ = _descend(of, column, n, n_pos, prior, choosy * prior / np.sqrt(n_pos), steps, rate)
+    chosen = np.flatnonzero(w)
+    place = np.full(len(seen), -1)
+    place[chosen] = np.arange(len(chosen))
+    stay = place[column] >= 0 if len(column) else np.zeros(0, bool)
+    refit, b = _descend(of[stay], place[column[stay]], n, n_pos, prior, 0.0, 2 * steps, rate)
     weights = np.zeros(size, np.float32)
-    weights[seen] = w
+    weights[seen[chosen[: len(refit)]]] = refit
     return Model(b, weights)
 
 
