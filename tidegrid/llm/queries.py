@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm import bpe, linededup, minhash, mixing, toxicity, winnow
+from tidegrid.llm import bpe, licenses, linededup, minhash, mixing, pii, quotes, toxicity, winnow
 from tidegrid.llm._store import settle, table, texts
 
 
@@ -18,6 +18,35 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", predicted)
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def _canonical_sql(text: str) -> str:
+    """licenses.canonical_lines() for DuckDB."""
+    out = rf"regexp_replace(lower({text}), '(?m)^[^\p{{L}}\p{{N}}\n]*(?:copyright[ \t]|\(c\)|©|all rights reserved)[^\n]*$', '', 'g')"
+    out = rf"' ' || replace(regexp_replace({out}, '[^\p{{L}}\p{{N}}\n]+', ' ', 'g'), chr(10), ' ' || chr(10) || ' ') || ' '"
+    for best, *others in licenses.SPELLINGS:  # twice for neighbours, as there is no look-ahead
+        for _ in range(2):
+            out = f"regexp_replace({out}, ' (?:{'|'.join(others)}) ', ' {best} ', 'g')"
+    return out
+
+
+def _whole_sql(lines: str) -> str:
+    return f"sha256(trim(regexp_replace({lines}, '[ \\n]+', ' ', 'g')))"
+
+
+SQL_OP2 = f"""
+WITH registry AS (SELECT * FROM (VALUES {", ".join("('" + n + "', '" + t.replace("'", "''") + "')" for n, t in licenses.REGISTRY)}) r(license, text)),
+known AS (SELECT digest, min(license) AS license FROM (SELECT {_whole_sql(_canonical_sql("text"))} AS digest, license FROM registry) GROUP BY digest),
+d AS (SELECT doc_id, {_canonical_sql("coalesce(text, '')")} AS lines FROM documents),
+w AS (SELECT doc_id, {_whole_sql("lines")} AS digest FROM d),
+l AS (SELECT DISTINCT doc_id, license FROM (SELECT doc_id, {_whole_sql("line")} AS digest FROM (SELECT doc_id, unnest(string_split(lines, chr(10))) AS line FROM d)) JOIN known USING (digest)),
+n AS (SELECT doc_id, string_agg(license, ',' ORDER BY license) AS notices FROM l GROUP BY doc_id)
+SELECT doc_id, digest, license, coalesce(notices, '') AS notices FROM w LEFT JOIN known USING (digest) LEFT JOIN n USING (doc_id)
+"""
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -61,7 +90,8 @@ SQL_OP4 = (
     r"""
 WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
   CASE WHEN regexp_full_match(source, 'src[0-9]{1,9}') THEN ['web', 'books', 'forum', 'reference'][CAST(substr(source, 4) AS BIGINT) % 4 + 1] ELSE 'other' END AS domain,
-  CAST(len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS BIGINT) AS n_tokens FROM documents),
+  CAST(len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+')) AS BIGINT) AS n_tokens FROM documents),
 leaf AS (SELECT domain, lang, source, sum(n_tokens) AS tokens FROM d GROUP BY ALL),
 budget AS (SELECT sum(tokens) AS total FROM leaf),"""
     + _level_sql("domain", [])
@@ -77,18 +107,47 @@ SELECT doc_id, domain, lang, source, n_tokens, CAST(epochs + CASE WHEN rest > 0
 )
 
 
-def op6_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
-    """path: the vocabulary file; by default that of the installed public_tokenizers package."""
-    if path is None:
-        import public_tokenizers
+def op5_pii(spark: SparkSession, sf_dir: str, key: str = "tidegrid") -> DataFrame:
+    """key: the secret of the pseudonyms; the default is for tests only."""
+    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), key)
+
+
+def vocabulary() -> str:
+    """The vocabulary file of the installed public_tokenizers package."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
 
-        path = public_tokenizers.path("byte_bpe_50k.json")
+def op6_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = bpe.round_trip(docs, path)
+    out = bpe.round_trip(docs, path or vocabulary())
     n_tokens = (F.octet_length("ids") / 4).cast("long").alias("n_tokens")
     return out.select("doc_id", n_tokens, F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op8_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.link(table(spark, sf_dir, "conversations"))
+
+
+SQL_OP8 = r"""
+WITH RECURSIVE m AS (SELECT conv_id, turn, role, string_split(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(10)) AS raw FROM conversations),
+l AS (SELECT conv_id, turn, role, i, raw[i] AS line, length(replace(replace(regexp_extract(raw[i], '^((?:[ \t]*>)*)', 1), ' ', ''), chr(9), '')) AS level,
+        coalesce(raw[i + 1], '') AS ahead FROM (SELECT *, unnest(range(1, len(raw) + 1)) AS i FROM m)),
+k AS (SELECT *, level = 0 AND regexp_matches(lower(line), '^[ \t]*(?:on|am|le|el) .{1,200}(?:wrote|schrieb|écrit|escribió)[ \t]*:[ \t]*$') AND regexp_matches(ahead, '^[ \t]*>') AS attribution,
+        trim(regexp_replace(lower(regexp_replace(line, '^((?:[ \t]*>)*)', '')), '[ \t]+', ' ', 'g')) AS key FROM l),
+t AS (SELECT conv_id, turn, role, any_value(said) AS said FROM (SELECT conv_id, turn, role, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (level = 0 AND NOT attribution), '') AS said FROM k GROUP BY ALL) GROUP BY ALL),
+q AS (SELECT conv_id, turn, key, count(*) AS n FROM k WHERE level = 1 AND key <> '' GROUP BY ALL),
+s AS (SELECT DISTINCT conv_id, turn, key FROM k WHERE level = 0 AND key <> '' AND NOT attribution),
+v AS (SELECT q.conv_id, q.turn, q.key, any_value(q.n) AS n, max(s.turn) AS parent FROM q JOIN s ON q.conv_id = s.conv_id AND q.key = s.key AND s.turn < q.turn GROUP BY ALL),
+p AS (SELECT conv_id, turn, max({'n': n, 'parent': parent}).parent AS parent FROM (SELECT conv_id, turn, parent, sum(n) AS n FROM v GROUP BY ALL) GROUP BY ALL),
+r AS (SELECT conv_id, turn, parent AS root, 1 AS depth FROM p UNION ALL SELECT r.conv_id, r.turn, p.parent, depth + 1 FROM r JOIN p ON r.conv_id = p.conv_id AND r.root = p.turn),
+z AS (SELECT conv_id, turn, min(root) AS root, max(depth) AS depth FROM r GROUP BY ALL)
+SELECT t.conv_id, coalesce(z.root, t.turn) AS root, t.turn, t.role, p.parent, CAST(coalesce(z.depth, 0) AS BIGINT) AS depth, t.said
+FROM t LEFT JOIN p USING (conv_id, turn) LEFT JOIN z USING (conv_id, turn)
+"""
+
+
 def op9_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = texts(table(spark, sf_dir, "documents"))
     paired = winnow.follow(winnow.winnowed(winnow.deal(docs), "text", "prints"), ["text", "prints"])
@@ -129,14 +188,19 @@ FROM m GROUP BY doc_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_license_scan": op2_license_scan,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_mixing": op4_mixing,
+    "op5_pii": op5_pii,
     "op6_bpe": op6_bpe,
+    "op8_quotes": op8_quotes,
     "op9_winnow": op9_winnow,
     "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_license_scan": SQL_OP2,
     "op4_mixing": SQL_OP4,
+    "op8_quotes": SQL_OP8,
     "op10_line_dedup": SQL_OP10,
 }
