@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm import bpe, licenses, linededup, minhash, mixing, pii, quotes, toxicity, winnow
+from tidegrid.llm import bpe, hnsw, licenses, linededup, minhash, mixing, pii, quotes, toxicity, winnow
 from tidegrid.llm._store import settle, table, texts
 
 
@@ -126,6 +126,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFr
     return out.select("doc_id", n_tokens, F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op7_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op8_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.link(table(spark, sf_dir, "conversations"))
 
@@ -193,6 +197,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mixing": op4_mixing,
     "op5_pii": op5_pii,
     "op6_bpe": op6_bpe,
+    "op7_hnsw": op7_hnsw,
     "op8_quotes": op8_quotes,
     "op9_winnow": op9_winnow,
     "op10_line_dedup": op10_line_dedup,
