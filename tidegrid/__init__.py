@@ -1,0 +1 @@
+"""Multi-channel, uniformly sampled time series with gaps, on Spark DataFrames."""
