@@ -149,7 +149,8 @@ def near_duplicates(docs: DataFrame, k: int = K, percent: int = PERCENT, bins: i
     signed = settle(signatures(docs, k, bins, rows), "signatures")
     linkable = signed.where("n > 0 and doc_id is not null")
     classes = linkable.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
-    reps = linkable.join(classes, ["d1", "d2"]).where("doc_id = rep").dropDuplicates(["d1", "d2"]).select("rep", "n", "bands")
+    keyed = classes.withColumn("doc_id", F.col("rep"))  # joined on the id as well, so a large class is no hot key
+    reps = linkable.join(keyed, ["doc_id", "d1", "d2"]).dropDuplicates(["doc_id", "d1", "d2"]).select("rep", "n", "bands")
     rows_ = reps.select("rep", "n", F.explode("bands").alias("key"))
     crowded = rows_.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("hub"), F.max("rep").alias("most")).where("hub.rep < most")
     buckets = settle(rows_.join(crowded, "key").select("key", "rep", "n", "hub"), "buckets")
@@ -162,19 +163,20 @@ def near_duplicates(docs: DataFrame, k: int = K, percent: int = PERCENT, bins: i
     tested = settle(pairs, "pairs")
     links = settle(_confirmed(tested, sets, percent), "links")
     roots = settle(components(links), "roots")
-    turn = 0
-    while True:
+    turn, unsettled = 0, buckets.select("key", "rep", "n")
+    while True:  # over the buckets that still hold several components, ever fewer
         turn += 1
-        rooted = buckets.select("key", "rep", "n").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-        rooted = rooted.withColumn("root", F.coalesce("root", "rep"))
+        rooted = unsettled.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
         pivot = F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), "rep", "n", "root")
         mixed = rooted.groupBy("key").agg(F.min(pivot).alias("hub"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
-        pairs = rooted.join(mixed, "key").where("root <> hub.root").where(fits)
+        rooted = settle(rooted.join(mixed.select("key", "hub"), "key"), "unsettled")
+        pairs = rooted.where("root <> hub.root").where(fits)
         pairs = pairs.select(F.greatest("rep", "hub.rep").alias("id"), F.least("rep", "hub.rep").alias("hub")).distinct()
         fresh = settle(pairs.join(tested, ["id", "hub"], "left_anti"), "pairs")
         found = settle(_confirmed(fresh, sets, percent), "links")
         if found.isEmpty():
             break
+        unsettled = rooted.select("key", "rep", "n")
         tested = tested.unionByName(fresh)
         links = links.unionByName(found)
         discard(roots)
