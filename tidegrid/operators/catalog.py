@@ -47,10 +47,9 @@ def merged_stats(parts: DataFrame) -> DataFrame:
     )
 
 
-def with_duration(stats: DataFrame) -> DataFrame:
-    """Adds recording_duration and block_interval (the duration of an average block)."""
-    duration = F.col("end_time") - F.col("start_time")
-    return stats.withColumns({"recording_duration": duration, "block_interval": F.when(F.col("number_of_blocks") > 0, F.floor(duration / F.col("number_of_blocks")))})
+def with_duration(stats: DataFrame, fs) -> DataFrame:
+    """Adds recording_duration and block_interval (what the longest block spans)."""
+    return stats.withColumns({"recording_duration": F.col("end_time") - F.col("start_time"), "block_interval": tg.span("maximum_block_samples", fs)})
 
 
 def same_rate(a, b) -> Column:

@@ -22,7 +22,8 @@ OLDER_KEYS = {
     "session_description": "session_description", "channel_description": "channel_description", "reference_description": "reference_description",
     "acquisition_channel_number": "acquisition_channel_number", "low_frequency_filter_setting": "low_frequency_filter",
     "high_frequency_filter_setting": "high_frequency_filter", "notch_filter_frequency_setting": "notch_filter", "AC_line_frequency": "line_frequency",
-    "subject_name_1": "name_1", "subject_name_2": "name_2", "subject_ID": "id", "recording_location": "recording_location", "GMT_offset": "gmt_offset",
+    "subject_name_1": "subject_name_1", "subject_name_2": "subject_name_2", "subject_ID": "subject_id", "subject_id": "subject_id",
+    "recording_location": "recording_location", "GMT_offset": "gmt_offset", "gmt_offset": "gmt_offset",
 }
 
 

@@ -208,9 +208,9 @@ _STATS = """channel, segment, CAST(sum(number_of_samples) AS BIGINT) AS number_o
 max(maximum_sample_value) AS maximum_sample_value, min(minimum_sample_value) AS minimum_sample_value, min(start_uutc) AS start_time, max(end_uutc) AS end_time"""
 
 
-@query("segment_stats", f"WITH {_SEGMENTED}, t AS (SELECT {_STATS} FROM s GROUP BY channel, segment) SELECT *, end_time - start_time AS recording_duration, (end_time - start_time) // number_of_blocks AS block_interval FROM t")
+@query("segment_stats", f"WITH {_SEGMENTED}, t AS (SELECT {_STATS} FROM s GROUP BY channel, segment) SELECT *, end_time - start_time AS recording_duration, CAST(round(maximum_block_samples * 1e6 / 256.0) AS BIGINT) AS block_interval FROM t")
 def segment_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.with_duration(catalog.segment_stats(_segmented(spark, sf_dir)))
+    return catalog.with_duration(catalog.segment_stats(_segmented(spark, sf_dir)), sig.FS)
 
 
 @query("append_merge_stats", f"WITH {_BLOCKS} SELECT {_STATS} FROM b GROUP BY channel, segment")
@@ -358,7 +358,7 @@ def metadata_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metadata.flattened(metadata.nested(c.withColumns(missing)).select("k", "acquisition", "subject")).select("k", "session_description", "low_frequency_filter", "gmt_offset")
 
 
-@query("legacy_property_names", "SELECT unnest(list_sort(['acquisition_channel_number', 'id', 'name_1', 'session_description'])) AS property")
+@query("legacy_property_names", "SELECT unnest(list_sort(['acquisition_channel_number', 'session_description', 'subject_id', 'subject_name_1'])) AS property")
 def legacy_property_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     older = sig.table(spark, sf_dir, "customer").select(F.col("c_name").alias("subject_name_1"), F.col("c_custkey").alias("subject_ID"), F.col("c_mktsegment").alias("session_description"), F.col("c_nationkey").alias("acquisition_channel_number"), F.col("c_acctbal").alias("unknown"))
     return spark.createDataFrame([(n,) for n in metadata.property_names(metadata.renamed(older))], "property string")

@@ -1 +1 @@
-
+"""Streams of samples into a store."""
