@@ -17,7 +17,7 @@ def spark(tmp_path_factory):
     base = tmp_path_factory.mktemp("spark")
     session = (
         SparkSession.builder.master("local[4]").appName("tests").config("spark.sql.shuffle.partitions", "4").config("spark.sql.session.timeZone", "UTC")
-        .config("spark.ui.enabled", "false").config("spark.driver.memory", "4g").config("spark.sql.warehouse.dir", str(base / "warehouse")).config("spark.checkpoint.dir", str(base / "shared")).getOrCreate()
+        .config("spark.ui.enabled", "false").config("spark.sql.maxMetadataStringLength", "2000").config("spark.driver.memory", "4g").config("spark.sql.warehouse.dir", str(base / "warehouse")).config("spark.checkpoint.dir", str(base / "shared")).getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session

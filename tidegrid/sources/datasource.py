@@ -1,7 +1,6 @@
 """The native format as a Spark data source.
 
-    spark.dataSource.register(SessionDataSource)
-    spark.read.format("tidegrid").option("path", p).option("mode", "blocks").load()
+    load(spark, path, "blocks")
 
 mode is channels, segments, toc, records or blocks. Only blocks reads and decodes
 samples: a task takes a byte range of some blocks. Filters on channel and time are
@@ -14,11 +13,12 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 from pyspark.sql.types import StructType
 
 from tidegrid import model
-from tidegrid.model import FormatError, _schema
+from tidegrid.model import FormatError
 from tidegrid.sources.native import Session
 
 TOC = StructType([f for f in model.BLOCKS.fields if f.name != "samples"])
@@ -103,4 +103,8 @@ class SessionReader(DataSourceReader):
             yield tuple(r.get(n) for n in names)
 
 
-WRITE_SUMMARY = _schema("channel string, samples_written long, blocks long, gaps_skipped long, segment int")
+def load(spark: SparkSession, path: str, mode: str, password: str = "") -> DataFrame:
+    """A table of a session, with push-down switched on."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(SessionDataSource)
+    return spark.read.format("tidegrid").options(path=path, mode=mode, password=password).load()

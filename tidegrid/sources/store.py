@@ -127,15 +127,14 @@ class Store:
 
 def import_session(spark: SparkSession, session_path: str, store: Store, password: str = "") -> None:
     """A native session's tables copied into an empty store; blocks are decoded by tasks, byte range by byte range."""
-    from tidegrid.sources.datasource import SessionDataSource
+    from tidegrid.sources.datasource import load
 
     if store._exists("blocks"):
         raise SessionIOError("the store already has blocks")
-    spark.dataSource.register(SessionDataSource)
-    load = lambda mode: spark.read.format("tidegrid").options(path=session_path, mode=mode, password=password).load()
-    load("blocks").repartition("channel", "segment").sortWithinPartitions("channel", "start_uutc").write.partitionBy("channel").parquet(f"{store.path}/blocks")
-    load("channels").write.parquet(f"{store.path}/channels")
-    load("records").write.parquet(f"{store.path}/records")
+    table = lambda mode: load(spark, session_path, mode, password)
+    table("blocks").repartition("channel", "segment").sortWithinPartitions("channel", "start_uutc").write.partitionBy("channel").parquet(f"{store.path}/blocks")
+    table("channels").write.parquet(f"{store.path}/channels")
+    table("records").write.parquet(f"{store.path}/records")
 
 
 def export_session(store: Store, session_path: str, password1: str = "", password2: str = "") -> DataFrame:
