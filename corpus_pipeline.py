@@ -19,7 +19,8 @@ MIX_PERCENT = 90
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored under one half stay."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, "__score").where("__score < 0.5").select(*docs.columns)
+    score = "score" + "_" * max(map(len, docs.columns))  # no name of the table's own
+    return toxicity.score(docs, model, score).where(F.col(score) < 0.5).select(*docs.columns)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

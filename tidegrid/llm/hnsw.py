@@ -246,6 +246,8 @@ def _search(threshold: float, recall: float):
                     sizes.append(part.column("size").to_numpy())
                     vectors.append(q)
                     continue
+                if graph is None and not ids:
+                    continue  # no node of this length fell to this shard
                 if graph is None:
                     ids, sizes = np.concatenate(ids), np.concatenate(sizes)
                     graph, roots, vectors = Graph(np.concatenate(vectors)), _Roots(len(ids)), []
@@ -294,7 +296,6 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: fl
     shards = max(min_shards, -(-reps.count() // shard_rows))
     nodes = reps.select("dim", F.pmod(F.xxhash64("rep"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("side"), "rep", "size", "embedding")
     queries = reps.select("dim", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("side"), "rep", "size", "embedding")
-    queries = queries.join(F.broadcast(nodes.select("dim", "shard").distinct()), ["dim", "shard"], "left_semi")
     work = nodes.unionByName(queries.select(*nodes.columns)).repartitionByRange("dim", "shard").sortWithinPartitions("dim", "shard", "side", "rep")
     found = settle(work.mapInArrow(_search(threshold, recall), "rep long, n long, near long"), "links")
     links = found.groupBy("rep").agg(F.sum("n").alias("n"))

@@ -207,7 +207,8 @@ def _kept_text(text: pa.Array, keep: pa.Array) -> pa.Array:
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, n_lines: str = "n_lines", n_dropped: str = "n_dropped") -> DataFrame:
-    """docs with text cut down to its kept lines, and two columns counting lines before and lines dropped."""
+    """docs with text cut down to its kept lines, and two columns counting lines before and lines dropped (columns of these names are replaced)."""
+    columns = [c for c in docs.columns if c not in (n_lines, n_dropped)]
     marks = bitmaps.select(*(F.col(c).alias(f"__{c}") for c in ("doc_id", "tag", "n_dropped", "keep")))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     joined = docs.withColumn("text", text).withColumn("__t", F.xxhash64("text").bitwiseAND(0x7FFFFFFF))
@@ -216,7 +217,7 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, n_lines: str = "n_lines",
     lines = (F.length("text") - F.length(F.translate("text", "\n", "")) + 1).cast("long")
     joined = joined.withColumns({"__lines": lines, "__cut": cut})
     out = {"text": F.coalesce("__cut", "text"), n_lines: F.col("__lines"), n_dropped: F.coalesce("__n_dropped", F.lit(0)).cast("long")}
-    return joined.withColumns(out).select(*docs.columns, n_lines, n_dropped)
+    return joined.withColumns(out).select(*columns, n_lines, n_dropped)
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:

@@ -11,6 +11,7 @@ equal values stay equal in all documents, and the key undoes it.
     ssn    area, group and serial rules            (898 * 99) x 9999
     ip     four octets                             2**16 x 2**16
     date   a calendar day of 1800 to 2199          189 x 773 = the 146,097 days of 400 years
+    email  shape of the address                    the local part's letters and digits, each within its class
 
 Separators stay where they are; values of one kind with other separators are the
 same value. What fails its check is left alone. Edge cases: null texts stay
@@ -28,6 +29,7 @@ _DAY_ZERO = "1800-01-01"
 _EDGE = r"(?<![\p{L}\p{N}.+-])", r"(?![\p{L}\p{N}]|[.-][0-9])"
 #: Candidates of all kinds, in order of preference.
 _SHAPES = {
+    "email": r"[\p{L}\p{N}][\p{L}\p{N}._%+-]{0,63}+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}",
     "date": r"[0-9]{4}[-/][0-9]{2}[-/][0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}",
     "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
     "phone": r"(?:\+1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}",
@@ -139,7 +141,40 @@ def _date(m: Column, key: str, inverse: bool) -> Column:
     return F.when(valid, F.transform(F.array(pair), shown)[0])
 
 
-_KINDS = {"date": _date, "ssn": _ssn, "phone": _phone, "ip": _ip, "card": _card}
+def _shifted(half: Column, digest: Column, inverse: bool) -> Column:
+    """Each letter and digit moved within its class by the digest's byte at its place."""
+
+    def moved(i: Column) -> Column:
+        c = F.ascii(F.substring(half, i, F.lit(1)))
+        by = F.conv(F.substring(digest, (i - 1) % 32 * 2 + 1, F.lit(2)), 16, 10).cast("int")
+        out = F
+        for first, size in ((97, 26), (65, 26), (48, 10)):
+            step = size - by % size if inverse else by % size
+            out = out.when(c.between(first, first + size - 1), F.char((c - first + step) % size + first))
+        return out.otherwise(F.substring(half, i, F.lit(1)))
+
+    return F.when(F.length(half) > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.length(half)), moved), "")).otherwise(F.lit(""))
+
+
+def _email(m: Column, key: str, inverse: bool) -> Column:
+    """The same kind of network over the halves of the local part, letter by letter; the domain stays."""
+    local = F.substring_index(m, "@", 1)
+    n = F.length(local)
+    u = F.floor(n / 2).cast("int")
+
+    def turn(s: Column, i: Column) -> Column:
+        x, y = s["a"], s["b"]
+        digest = lambda half: F.sha2(F.concat_ws("|", F.lit(key), F.lit("email"), n.cast("string"), i.cast("string"), half).cast("binary"), 256)
+        odd = i % 2 == 1
+        return F.struct(F.when(odd, _shifted(x, digest(y), inverse)).otherwise(x).alias("a"), F.when(odd, y).otherwise(_shifted(y, digest(x), inverse)).alias("b"))
+
+    order = F.sequence(F.lit(ROUNDS), F.lit(1), F.lit(-1)) if inverse else F.sequence(F.lit(1), F.lit(ROUNDS))
+    pair = F.aggregate(order, F.struct(F.substring(local, F.lit(1), u).alias("a"), F.substring(local, u + 1, n - u).alias("b")), turn)
+    joined = F.transform(F.array(pair), lambda p: F.concat(p["a"], p["b"]))[0]
+    return F.concat(joined, F.lit("@"), F.substring_index(m, "@", -1))
+
+
+_KINDS = {"email": _email, "date": _date, "ssn": _ssn, "phone": _phone, "ip": _ip, "card": _card}
 
 
 def pseudonym(value: Column, key: str, inverse: bool = False) -> Column:
@@ -151,8 +186,8 @@ def pseudonym(value: Column, key: str, inverse: bool = False) -> Column:
 
 
 def pseudonymise(docs: DataFrame, key: str, inverse: bool = False, count: str = "n_replaced") -> DataFrame:
-    """docs with text rewritten and a count of the values replaced; inverse restores the values a key has replaced."""
-    columns = docs.columns
+    """docs with text rewritten and a count of the values replaced (a column of that name goes); inverse restores the values a key has replaced."""
+    columns = [c for c in docs.columns if c != count]
     df = docs.withColumn("text", F.col("text").cast("string")).withColumn("__found", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)))
     df = df.withColumn("__new", F.transform("__found", lambda m: pseudonym(m, key, inverse)))
     between = F.split("text", CANDIDATE, -1)

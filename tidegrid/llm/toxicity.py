@@ -127,7 +127,7 @@ def fit(docs: DataFrame, labels: DataFrame, bits: int = BITS, max_positive: int
 
 
 def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
-    """docs with a column between 0 and 1, higher where toxic is likelier."""
+    """docs with a column between 0 and 1, higher where toxic is likelier; a column of that name is replaced."""
     bits = len(model.weights).bit_length() - 1
     shared = docs.sparkSession.sparkContext.broadcast((model.bias, model.weights))
 
