@@ -5,9 +5,10 @@ from a filled one picked by a per-bin order (optimal densification). 42 bands of
 6 bins make 42 bucket keys per document: a pair at similarity 0.85 misses all of
 them with probability 2e-9. Documents with equal shingle sets are one class, and
 only its smallest id goes on. In a bucket every class is paired with one hub (a
-star), so pairs never exceed bucket rows; pairs are confirmed on full shingle
-sets. A star can miss a link between two spokes, so buckets that still hold
-several components get new hubs, round after round, until a round finds nothing.
+star), the member that meets most others over all its buckets, so pairs never
+exceed bucket rows; pairs are confirmed on full shingle sets. A star can miss a
+link between two spokes, so buckets that still hold several components get new
+hubs, round after round, until a round finds nothing.
 
 Edge cases: null, empty or blank texts have no shingles and link with nothing;
 texts of fewer words than a shingle count as one shingle; rows with a null
@@ -23,7 +24,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegrid.llm._store import discard, settle, texts
@@ -32,6 +33,7 @@ from tidegrid.llm.components import components
 
 K, BINS, ROWS, PERCENT = 5, 256, 6, 85
 _SPOKES = 256  # pairs that share one copy of a hub's shingle set
+_HUBS = 4  # ranks that later rounds take their hubs from, by band
 
 
 @cache
@@ -151,32 +153,38 @@ def near_duplicates(docs: DataFrame, k: int = K, percent: int = PERCENT, bins: i
     classes = linkable.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
     keyed = classes.withColumn("doc_id", F.col("rep"))  # joined on the id as well, so a large class is no hot key
     reps = linkable.join(keyed, ["doc_id", "d1", "d2"]).dropDuplicates(["doc_id", "d1", "d2"]).select("rep", "n", "bands")
-    rows_ = reps.select("rep", "n", F.explode("bands").alias("key"))
-    crowded = rows_.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("hub"), F.max("rep").alias("most")).where("hub.rep < most")
-    buckets = settle(rows_.join(crowded, "key").select("key", "rep", "n", "hub"), "buckets")
-
-    needed = buckets.select(F.col("rep").alias("doc_id")).distinct()
+    rows_ = reps.select("rep", "n", F.posexplode("bands").alias("band", "key"))
+    crowded = rows_.groupBy("key").agg(F.count("*").alias("crowd")).where("crowd > 1")
+    rows_ = settle(rows_.join(crowded, "key"), "rows")
+    # A text in the midst of its near copies meets the most of them, and so makes the best hub.
+    met = rows_.groupBy("rep").agg(F.sum("crowd").alias("met"))
+    buckets = settle(rows_.join(met, "rep").select("band", "key", "rep", "n", "met"), "buckets")
+
+    needed = met.select(F.col("rep").alias("doc_id"))
     sets = settle(texts(docs).join(needed, "doc_id", "left_semi").mapInArrow(_gram_sets(k), "id long, grams binary"), "sets")
 
     fits = 100 * F.least("n", "hub.n") >= percent * F.greatest("n", "hub.n")
-    pairs = buckets.where("rep <> hub.rep").where(fits).select(F.col("rep").alias("id"), F.col("hub.rep").alias("hub")).distinct()
+    pair = [F.greatest("rep", "hub.rep").alias("id"), F.least("rep", "hub.rep").alias("hub")]
+    hubs = buckets.groupBy("key").agg(F.max(F.struct("met", "rep", "n")).alias("hub"))
+    pairs = buckets.join(hubs, "key").where("rep <> hub.rep").where(fits).select(*pair).distinct()
     tested = settle(pairs, "pairs")
     links = settle(_confirmed(tested, sets, percent), "links")
     roots = settle(components(links), "roots")
-    turn, unsettled = 0, buckets.select("key", "rep", "n")
-    while True:  # over the buckets that still hold several components, ever fewer
-        turn += 1
+    unsettled = buckets.join(hubs.select("key", F.col("hub.rep").alias("rep")), ["key", "rep"], "left_anti")
+    while True:  # over the members that have been no hub yet, in buckets that still hold several components
         rooted = unsettled.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-        pivot = F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), "rep", "n", "root")
-        mixed = rooted.groupBy("key").agg(F.min(pivot).alias("hub"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
-        rooted = settle(rooted.join(mixed.select("key", "hub"), "key"), "unsettled")
-        pairs = rooted.where("root <> hub.root").where(fits)
-        pairs = pairs.select(F.greatest("rep", "hub.rep").alias("id"), F.least("rep", "hub.rep").alias("hub")).distinct()
+        mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+        rooted = settle(rooted.join(mixed, "key"), "unsettled")
+        # Bands take turns: one takes the member that meets most others as its hub, the next one the second, so a text meets several hubs at a pair per bucket row.
+        place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("met"), "rep"))
+        ranked = rooted.withColumn("place", place).where(F.col("place") <= _HUBS).where(F.col("place") <= F.col("band") % _HUBS + 1)
+        hubs = ranked.groupBy("key").agg(F.max_by(F.struct("rep", "n", "root"), "place").alias("hub"))
+        pairs = rooted.join(hubs, "key").where("root <> hub.root").where(fits).select(*pair).distinct()
         fresh = settle(pairs.join(tested, ["id", "hub"], "left_anti"), "pairs")
         found = settle(_confirmed(fresh, sets, percent), "links")
         if found.isEmpty():
             break
-        unsettled = rooted.select("key", "rep", "n")
+        unsettled = rooted.join(hubs.select("key", F.col("hub.rep").alias("rep")), ["key", "rep"], "left_anti").select("band", "key", "rep", "n", "met")
         tested = tested.unionByName(fresh)
         links = links.unionByName(found)
         discard(roots)
