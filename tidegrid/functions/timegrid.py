@@ -113,3 +113,8 @@ def fixed_text(text, width: int) -> Column:
 def described(text, name) -> Column:
     """An empty description falls back to the name."""
     return F.coalesce(F.nullif(col(text), F.lit("")), col(name))
+
+
+def member_name(path) -> Column:
+    """An archive member's name without leading ./ and outer slashes."""
+    return F.trim(F.regexp_replace(col(path), r"^(\./)+", ""), F.lit("/"))

@@ -81,3 +81,12 @@ def boundary_gaps(segments: DataFrame) -> DataFrame:
 def fingerprint_diff(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows of one listing that the other lacks, with side; none means nothing changed."""
     return a.exceptAll(b).withColumn("side", F.lit("left")).unionByName(b.exceptAll(a).withColumn("side", F.lit("right")))
+
+
+def complete_segments(files: DataFrame) -> DataFrame:
+    """files (session, path inside it): session, channel, segment of the segments whose metadata, index and data are all there."""
+    parts = F.split("path", "/")
+    suffix = F.regexp_extract("path", r"\.(tmet|tidx|tdat)$", 1)
+    rows = files.where(F.col("path").like("%.timd/%.segd/%") & (suffix != ""))
+    rows = rows.select("session", parts[0].alias("channel"), parts[1].alias("segment"), suffix.alias("suffix"))
+    return rows.groupBy("session", "channel", "segment").agg(F.count_distinct("suffix").alias("kinds")).where("kinds = 3").drop("kinds")

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidegrid.functions import codec, crypto
 from tidegrid.functions import timegrid as tg
 from tidegrid.operators import catalog, ingest, metadata, read, records
 from tidegrid.plans import signals as sig
@@ -397,3 +398,99 @@ def block_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
 def linear_retrend(spark: SparkSession, sf_dir: str) -> DataFrame:
     trend = F.col("count") * F.lit(1.5) + F.lit(0.25) * (F.col("pos") + 1) - F.lit(3.0)
     return sig.counts(spark, sf_dir).where("valid").select("channel", "pos", tg.round_to_int(trend).alias("count"))
+
+
+@query("codec_roundtrip", ORACLE["block_samples"])
+def codec_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every block coded and decoded again: what comes back is what went in."""
+    back = codec.decoded(codec.encoded(_blocks(spark, sf_dir, True)))
+    return back.select("channel", "block_no", F.array_join("samples", ",").alias("samples"))
+
+
+@query("codec_flags", f"WITH {_BLOCKS} SELECT channel, block_no, start_uutc, discontinuity FROM b")
+def codec_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Start times and flags through the codec, with encrypted statistics."""
+    keys = crypto.access("two", *crypto.validation_fields("one", "two"))
+    back = codec.decoded(codec.encoded(_blocks(spark, sf_dir, True), 1, keys), keys)
+    return back.select("channel", "block_no", "start_uutc", "discontinuity")
+
+
+@query("cipher_roundtrip", "SELECT c_custkey, c_name FROM customer")
+def cipher_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names padded to 32 bytes, encrypted block by block and decrypted."""
+    key = crypto.password_bytes("key")
+    c = sig.table(spark, sf_dir, "customer").select("c_custkey", F.rpad("c_name", 32, " ").cast("binary").alias("plain"))
+    locked = c.select("c_custkey", crypto.aes_ecb_column(key, True)(F.col("plain")).alias("locked"))
+    opened = locked.select("c_custkey", crypto.aes_ecb_column(key, False)(F.col("locked")).cast("string").alias("c_name"))
+    return opened.withColumn("c_name", F.rtrim("c_name"))
+
+
+@query("checksums")
+def checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The checksum of each customer's name; its polynomial is beyond SQL, tests hold it against a bitwise one."""
+    return sig.table(spark, sf_dir, "customer").select("c_custkey", crypto.crc32k(F.col("c_name").cast("binary")).alias("crc"))
+
+
+@query("flag_test", "SELECT event_id, event_id & 1 <> 0 AS discontinuity, event_id & 2 <> 0 AS level_1, event_id & 4 <> 0 AS level_2 FROM events")
+def flag_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flags = {n: tg.has_flag("event_id", m).alias(n) for n, m in (("discontinuity", 1), ("level_1", 2), ("level_2", 4))}
+    return sig.table(spark, sf_dir, "events").select("event_id", *flags.values())
+
+
+@query("member_names", "SELECT p_partkey, trim(regexp_replace('./' || p_brand || '/' || p_name || '/', '^(\\./)+', ''), '/') AS name FROM part")
+def member_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = F.concat(F.lit("./"), "p_brand", F.lit("/"), "p_name", F.lit("/"))
+    return sig.table(spark, sf_dir, "part").select("p_partkey", tg.member_name(raw).alias("name"))
+
+
+_FILES = "f AS (SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'A.timd/A-000001.segd/A-000001.tmet' WHEN 1 THEN 'A.timd/A-000001.segd/A-000001.tidx' WHEN 2 THEN 'v.vidd/x.segd/x.tmet' WHEN 3 THEN 'B.timd/B.rdat' ELSE 'A.timd/A-000001.segd/A-000001.tdat' END AS path, o_custkey % 50 AS session FROM orders)"
+
+
+@query("complete_segments", f"WITH {_FILES} SELECT session, split_part(path, '/', 1) AS channel, split_part(path, '/', 2) AS segment FROM f WHERE path LIKE '%.timd/%.segd/%' AND regexp_matches(path, '[.](tmet|tidx|tdat)$') GROUP BY ALL HAVING count(DISTINCT right(path, 4)) = 3")
+def complete_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments that have all three of their files, from a file listing."""
+    kinds = ["A.timd/A-000001.segd/A-000001.tmet", "A.timd/A-000001.segd/A-000001.tidx", "v.vidd/x.segd/x.tmet", "B.timd/B.rdat", "A.timd/A-000001.segd/A-000001.tdat"]
+    path = F.get(F.array(*map(F.lit, kinds)), (F.col("o_orderkey") % 5).cast("int"))
+    files = sig.table(spark, sf_dir, "orders").select((F.col("o_custkey") % 50).alias("session"), path.alias("path"))
+    return catalog.complete_segments(files)
+
+
+@query("concat_segments", f"WITH {_SEGMENTED} SELECT channel, block_no, CAST(sum(number_of_samples) OVER (PARTITION BY channel ORDER BY segment, block_no) AS BIGINT) AS so_far FROM s WHERE segment <> 2")
+def concat_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments end to end, one left out."""
+    s = _segmented(spark, sf_dir)
+    parts = s.where("segment = 0").unionByName(s.where("segment = 1")).unionByName(s.where("segment = 3"))
+    return parts.select("channel", "block_no", F.sum("number_of_samples").over(Window.partitionBy("channel").orderBy("segment", "block_no")).alias("so_far"))
+
+
+@query("pick_channels", f"WITH {_MAP} SELECT channel, CAST(sum(number_of_samples) AS BIGINT) AS n FROM m WHERE channel IN ('R', 'A') GROUP BY channel")
+def pick_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    info = catalog.channel_info(catalog.segment_map(_segmented(spark, sf_dir)))
+    return metadata.picked(info, "channel", ["R", "A", "missing", "R"]).select("channel", F.col("number_of_samples").alias("n"))
+
+
+@query("renamed_keys", "SELECT c_name AS subject_name_1, c_custkey AS subject_id, c_mktsegment AS session_description FROM customer")
+def renamed_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    older = sig.table(spark, sf_dir, "customer").select(F.col("c_name").alias("subject_name_1"), F.col("c_custkey").alias("subject_ID"), F.col("c_mktsegment").alias("session_description"), F.col("c_acctbal").alias("unknown"))
+    return metadata.renamed(older)
+
+
+@query("fixed_width_text", "SELECT p_partkey, substr(p_name, 1, 7) AS field FROM part")
+def fixed_width_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sig.table(spark, sf_dir, "part").select("p_partkey", tg.fixed_text("p_name", 7).alias("field"))
+
+
+@query("count_guard", "SELECT o_orderkey, abs(o_totalprice * 100000) <= 2147483647 AS fits, CASE WHEN abs(o_totalprice * 100000) <= 2147483647 THEN CAST(round(o_totalprice * 100000) AS INTEGER) END AS count FROM orders")
+def count_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which values fit 32-bit counts at five decimals; quantize() raises for the others."""
+    o = sig.table(spark, sf_dir, "orders")
+    fits = F.abs(F.col("o_totalprice") * 100000) <= tg.INT_MAX
+    return o.select("o_orderkey", fits.alias("fits"), tg.quantize(F.when(fits, F.col("o_totalprice")), 5).alias("count"))
+
+
+@query("aligned_channels", f"WITH {_GRID} SELECT idx, max(value) FILTER (channel = 'click') AS click, max(value) FILTER (channel = 'error') AS error, count(value) AS present FROM gr LEFT JOIN p USING (channel, idx) WHERE idx < 700 GROUP BY idx")
+def aligned_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Channels side by side on their grids, a row per position."""
+    g = grid_read(spark, sf_dir).where("idx < 700")
+    pick = {c: F.max(F.when(F.col("channel") == c, F.col("value"))).alias(c) for c in ("click", "error")}
+    return g.groupBy("idx").agg(*pick.values(), F.count("value").alias("present"))
