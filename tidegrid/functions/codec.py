@@ -12,7 +12,7 @@ from tidegrid.functions.crypto import Access
 from tidegrid.sources import blocks as codec
 
 _KEYS = ("channel", "segment", "block_no")
-_TOGETHER = 512
+_TOGETHER = 1024
 
 
 def encoded(blocks: DataFrame, level: int = 0, keys: Access = Access()) -> DataFrame:

@@ -83,48 +83,58 @@ def frequencies(symbols: np.ndarray) -> np.ndarray:
     return (np.ceil(counts * (254.999999999 / most)) if most > 255 else counts).astype(np.uint8)
 
 
+def _lockstep(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of blocks from the longest down, and how many of them are as long as each step needs."""
+    width = int(lengths.max(initial=0))
+    return np.argsort(-lengths, kind="stable"), len(lengths) - np.searchsorted(np.sort(lengths), np.arange(width), "right")
+
+
+def _flat_ahead(tables: np.ndarray) -> np.ndarray:
+    """Frequencies of the symbols before each, 256 a block, end to end."""
+    return (np.cumsum(tables, axis=1, dtype=np.uint32) - tables).ravel()
+
+
 def _range_encode(streams: list[np.ndarray], tables: np.ndarray) -> list[bytes]:
     b = len(streams)
-    lengths = np.array([len(s) for s in streams])
-    order = np.argsort(-lengths, kind="stable")
-    lengths, tables = lengths[order], tables[order].astype(np.int64)
-    width = int(lengths[0])
+    order, live_at = _lockstep(np.array([len(s) for s in streams]))
+    tables = tables[order].astype(np.uint32)
+    width = len(live_at)
     grid = np.zeros((width, b), np.uint8)
     for place, i in enumerate(order.tolist()):
         grid[: len(streams[i]), place] = streams[i]
-    ahead = np.concatenate([np.zeros((b, 1), np.int64), np.cumsum(tables, axis=1)], axis=1)
-    total = ahead[:, -1]
-    digits = np.zeros((b, width * 2 + 16), np.int64)
+    total, ahead, counts = tables.sum(axis=1, dtype=np.uint32), _flat_ahead(tables), tables.ravel()
+    digits = np.zeros((b, width * 2 + 16), np.uint16)
     used = np.zeros(b, np.int64)
-    low, span = np.zeros(b, np.int64), np.full(b, _TOP, np.int64)
-    rows = np.arange(b)
+    low, span = np.zeros(b, np.uint32), np.full(b, _TOP, np.uint32)
+    base, rows = np.arange(b) * 256, np.arange(b)
 
-    def renormalised(live: np.ndarray) -> None:
+    def renormalised(n: int) -> None:
         nonlocal digits
-        while len(live := live[span[live] <= _BOTTOM]):
+        live = np.flatnonzero(span[:n] <= _BOTTOM)
+        while len(live):
             if used.max() + 4 >= digits.shape[1]:
                 digits = np.concatenate([digits, np.zeros_like(digits)], axis=1)
             digits[live, used[live]] = low[live] >> _SHIFT  # with its carry bit
             used[live] += 1
             low[live] = (low[live] << 8) & (_TOP - 1)
             span[live] <<= 8
-
-    live_at = b - np.searchsorted(np.sort(lengths), np.arange(width), "right")
-    for t in range(width):
-        live = rows[: live_at[t]]
-        renormalised(live)
-        symbol = grid[t, : len(live)].astype(np.int64)
-        unit = span[live] // total[live]
-        below = unit * ahead[live, symbol]
-        low[live] += below
-        span[live] = np.where(symbol < 255, unit * tables[live, symbol], span[live] - below)
-    renormalised(rows)
+            live = live[span[live] <= _BOTTOM]
+
+    for t, n in enumerate(live_at.tolist()):
+        renormalised(n)
+        symbol = grid[t, :n]
+        at = base[:n] + symbol
+        unit = span[:n] // total[:n]
+        below = unit * ahead[at]
+        low[:n] += below
+        span[:n] = np.where(symbol < 255, unit * counts[at], span[:n] - below)
+    renormalised(b)
     digits[rows, used] = (low >> _SHIFT) + 1
     out: list[bytes] = [b""] * b
     for place, i in enumerate(order.tolist()):
         d = digits[place, : used[place] + 1].copy()
         while (over := np.flatnonzero(d > 255)).size:
-            d[over[over > 0] - 1] += d[over[over > 0]] >> 8
+            np.add.at(d, over[over > 0] - 1, d[over[over > 0]] >> 8)
             d[over] &= 255
         out[i] = d.astype(np.uint8).tobytes() + b"\0"
     return out
@@ -132,46 +142,42 @@ def _range_encode(streams: list[np.ndarray], tables: np.ndarray) -> list[bytes]:
 
 def _range_decode(payloads: list[bytes], tables: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
     b = len(payloads)
-    order = np.argsort(-lengths, kind="stable")
-    lengths, tables = lengths[order], tables[order].astype(np.int64)
-    width = int(lengths[0]) if b else 0
-    longest = max(map(len, payloads), default=0) + 8
-    code = np.zeros((b, longest), np.int64)
+    order, live_at = _lockstep(lengths)
+    tables = tables[order].astype(np.uint32)
+    width, longest = len(live_at), max(map(len, payloads), default=0) + 8
+    code = np.zeros((b, longest), np.uint8)
     for place, i in enumerate(order.tolist()):
         code[place, : len(payloads[i])] = np.frombuffer(payloads[i], np.uint8)
-    ahead = np.concatenate([np.zeros((b, 1), np.int64), np.cumsum(tables, axis=1)], axis=1)
-    total = ahead[:, -1]
+    total, ahead, counts = tables.sum(axis=1, dtype=np.uint32), _flat_ahead(tables), tables.ravel()
     if (total == 0).any():
         raise FormatError("a block's frequency table is empty")
     symbols = np.zeros((width, b), np.uint8)
     # For each block, the symbol of each cumulative count, in one flat table.
-    base = np.concatenate([[0], np.cumsum(total)])[:-1]
-    symbol_of = np.repeat(np.tile(np.arange(256, dtype=np.uint8), b), tables.ravel())
-    byte, at = code[:, 0], np.ones(b, np.int64)
-    low, span = byte >> (8 - _EXTRA), np.full(b, 1 << _EXTRA, np.int64)
-    byte, low = byte.copy(), low.copy()
-    rows = np.arange(b)
-    live_at = b - np.searchsorted(np.sort(lengths), np.arange(width), "right")
-    for t in range(width):
-        live = rows[: live_at[t]]
-        need = live
-        while len(need := need[span[need] <= _BOTTOM]):
+    base, first = np.arange(b) * 256, np.cumsum(total, dtype=np.int64) - total
+    symbol_of = np.repeat(np.tile(np.arange(256, dtype=np.uint8), b), counts)
+    byte, at = code[:, 0].astype(np.uint32), np.ones(b, np.int64)
+    low, span = byte >> (8 - _EXTRA), np.full(b, 1 << _EXTRA, np.uint32)
+    for t, n in enumerate(live_at.tolist()):
+        need = np.flatnonzero(span[:n] <= _BOTTOM)
+        while len(need):
             low[need] = (low[need] << 8) | ((byte[need] << _EXTRA) & 255)
             byte[need] = code[need, np.minimum(at[need], longest - 1)]
             at[need] += 1
             low[need] |= byte[need] >> (8 - _EXTRA)
             span[need] <<= 8
-        unit = span[live] // total[live]
-        if (unit == 0).any():
+            need = need[span[need] <= _BOTTOM]
+        unit = span[:n] // total[:n]
+        if not unit.all():
             raise FormatError("a block's code leaves its range")
-        s = symbol_of[base[live] + np.clip(low[live] // unit, 0, total[live] - 1)].astype(np.int64)
-        below = unit * ahead[live, s]
-        low[live] -= below
-        span[live] = np.where(s < 255, unit * tables[live, s], span[live] - below)
-        symbols[t, : len(live)] = s
-    out: list[np.ndarray] = [symbols[:0, 0] if b else np.zeros(0, np.uint8)] * b
+        s = symbol_of[first[:n] + np.minimum(low[:n] // unit, total[:n] - 1)]
+        place = base[:n] + s
+        below = unit * ahead[place]
+        low[:n] -= below
+        span[:n] = np.where(s < 255, unit * counts[place], span[:n] - below)
+        symbols[t, :n] = s
+    out: list[np.ndarray] = [np.zeros(0, np.uint8)] * b
     for place, i in enumerate(order.tolist()):
-        out[i] = symbols[: lengths[place], place]
+        out[i] = symbols[: lengths[i], place]
     return out
 
 

@@ -16,7 +16,7 @@ from tidegrid.sources import layout as lay
 from tidegrid.sources import native
 from tidegrid.sources.native import Run, Write
 
-_GROUP = 256
+_GROUP = 1024
 
 
 class _Segment:
