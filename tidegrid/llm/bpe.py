@@ -30,6 +30,7 @@ from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 #: Fixed value: the pre-tokenizing pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _NEVER = np.int64(1 << 40)
+_NONE = 1 << 40
 _CACHE, _CACHED_BYTES = 1 << 18, 64
 _GROUP = 1 << 20
 
@@ -57,56 +58,77 @@ class Codec:
         for s, i in self.added.items():
             self.bytes[i] = s.encode()
         self.id = {b: i for i, b in raw.items()}
-        self.longest = max(map(len, self.id))
         self.byte_ids = [self.id[bytes([b])] for b in range(256)]
         self.rank = np.full(self.size, -1, np.int64)
         self.left, self.right = np.zeros(self.size, np.int64), np.zeros(self.size, np.int64)
-        self.merge: dict[int, tuple[int, int]] = {}
+        self.merge: dict[int, int] = {}  # rank by pair
+        self.whole: list[int] = []  # token by rank
         for k, m in enumerate(spec["model"]["merges"]):
             a, b = m if isinstance(m, list) else m.split(" ")
             i, j, whole = vocab[a], vocab[b], vocab[a + b]
-            self.merge.setdefault(i * self.size + j, (k, whole))
+            self.merge.setdefault(i * self.size + j, k)
+            self.whole.append(whole)
             if self.rank[whole] < 0:
                 self.rank[whole], self.left[whole], self.right[whole] = k, i, j
         self.pair_keys = np.array(sorted(self.merge), np.int64)
-        self.pair_ranks = np.array([self.merge[x][0] for x in self.pair_keys.tolist()], np.int64)
+        self.pair_ranks = np.array([self.merge[x] for x in self.pair_keys.tolist()], np.int64)
         self.itself: dict[int, bool] = {}
         self.pairs: dict[int, bool] = {}
-        self.words: dict[str, bytes] = {}
+        self.trie: dict = {}  # by byte; a token's id is under -1
+        for b, i in self.id.items():
+            node = self.trie
+            for x in b:
+                node = node.setdefault(x, {})
+            node[-1] = i
+        self.words: dict[str, bytes] = {}  # words met lately
+        self.older: dict[str, bytes] = {}  # those met before them
         self.split = regex.compile("(" + "|".join(regex.escape(s) for s in self.added) + ")") if self.added else None
         self.find = regex.compile(PATTERN).findall
 
     def _greedy(self, word: bytes) -> list[int]:
-        out, at, n = [], 0, len(word)
+        out, at, n, trie = [], 0, len(word), self.trie
         while at < n:
-            end = min(n, at + self.longest)
-            while (i := self.id.get(word[at:end])) is None:
-                end -= 1
-            out.append(i)
+            node, k = trie, at
+            while k < n and (node := node.get(word[k])) is not None:
+                k += 1
+                if -1 in node:
+                    best, end = node[-1], k
+            out.append(best)
             at = end
         return out
 
     def exact(self, word: bytes) -> list[int]:
         """Merge the lowest rank first, the leftmost among equals."""
         ids = [self.byte_ids[b] for b in word]
-        n = len(ids)
+        n, size, rank_of, whole = len(ids), self.size, self.merge.get, self.whole
+        if n <= 48:  # a plain scan is quicker than a heap
+            ranks = [rank_of(a * size + b, _NONE) for a, b in zip(ids, ids[1:], strict=False)]
+            while ranks and (r := min(ranks)) < _NONE:
+                i = ranks.index(r)
+                ids[i] = whole[r]
+                del ids[i + 1], ranks[i]
+                if i:
+                    ranks[i - 1] = rank_of(ids[i - 1] * size + ids[i], _NONE)
+                if i < len(ranks):
+                    ranks[i] = rank_of(ids[i] * size + ids[i + 1], _NONE)
+            return ids
         prev, next_ = list(range(-1, n - 1)), list(range(1, n + 1))
-        heap = [(m[0], i, ids[i], ids[i + 1], m[1]) for i in range(n - 1) if (m := self.merge.get(ids[i] * self.size + ids[i + 1]))]
+        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := rank_of(ids[i] * size + ids[i + 1])) is not None]
         heapq.heapify(heap)
         alive = [True] * n
         while heap:
-            _, i, a, b, whole = heapq.heappop(heap)
+            r, i, a, b = heapq.heappop(heap)
             j = next_[i]
             if not alive[i] or j >= n or ids[i] != a or ids[j] != b:
                 continue
-            ids[i], alive[j] = whole, False
+            ids[i], alive[j] = whole[r], False
             next_[i] = next_[j]
             if next_[i] < n:
                 prev[next_[i]] = i
             for x in (prev[i], i):
                 y = next_[x] if x >= 0 else n
-                if y < n and (m := self.merge.get(ids[x] * self.size + ids[y])):
-                    heapq.heappush(heap, (m[0], x, ids[x], ids[y], m[1]))
+                if y < n and (r := rank_of(ids[x] * size + ids[y])) is not None:
+                    heapq.heappush(heap, (r, x, ids[x], ids[y]))
         return [x for x, a in zip(ids, alive, strict=True) if a]
 
     def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -151,7 +173,7 @@ class Codec:
         ask = fine == 2
         if ask.any():
             fine[ask] = self.compatible(distinct[ask] // self.size, distinct[ask] % self.size)
-            if len(self.pairs) > 1 << 20:
+            if len(self.pairs) > _CACHE:
                 self.pairs.clear()
             self.pairs.update(zip(distinct[ask].tolist(), fine[ask].tolist(), strict=True))
         bad = np.zeros(len(guesses), bool)
@@ -165,7 +187,10 @@ class Codec:
         parts = [[w for k, p in enumerate(ps) for w in ([p] if k % 2 else self.find(p))] for ps in pieces]
         special = {s: np.array([i], "<u4").tobytes() for s, i in self.added.items()}
         known = self.words
-        new = list({w for p in parts for w in p} - known.keys() - special.keys())
+        unmet = {w for p in parts for w in p} - known.keys() - special.keys()
+        again = unmet & self.older.keys()
+        known.update((w, self.older[w]) for w in again)
+        new = list(unmet - again)
         known.update(self._settle(new))
         out = []
         for ps, words in zip(pieces, parts, strict=True):
@@ -176,8 +201,8 @@ class Codec:
         for w in new:
             if len(w) > _CACHED_BYTES:
                 del known[w]
-        if len(known) > _CACHE:
-            known.clear()
+        if len(known) > _CACHE:  # words met since the last turn stay
+            self.older, self.words = known, {}
         return out
 
     def decode(self, ids: bytes) -> str:
