@@ -36,15 +36,16 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     if not _folders:
         atexit.register(_clean)
     _folders.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._settled = path
+    return out
 
 
 def discard(df: DataFrame) -> None:
-    """Delete a settled table that no later plan reads."""
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        for item in [x for x in _folders if path.endswith(x[1].split(":", 1)[-1])]:
-            _remove(*item)
-            _folders.remove(item)
+    """Delete the table of a result of settle() that no later plan reads."""
+    item = (df.sparkSession, df._settled)
+    _remove(*item)
+    _folders.remove(item)
 
 
 def _remove(spark: SparkSession, path: str) -> None:

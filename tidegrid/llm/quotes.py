@@ -72,9 +72,9 @@ def threads(links: DataFrame) -> DataFrame:
         new = new.select("conv_id", "turn", "parent", F.coalesce("higher", "top").alias("top"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("higher").isNotNull().alias("moved"))
         new = settle(new, "threads")
         discard(state)
-        state = new.drop("moved")
+        state = new
         if new.where("moved").isEmpty():
-            return state.withColumnRenamed("top", "root")
+            return state.drop("moved").withColumnRenamed("top", "root")
 
 
 def link(messages: DataFrame) -> DataFrame:
