@@ -170,27 +170,34 @@ def near_duplicates(docs: DataFrame, k: int = K, percent: int = PERCENT, bins: i
     tested = settle(pairs, "pairs")
     links = settle(_confirmed(tested, sets, percent), "links")
     roots = settle(components(links), "roots")
-    unsettled = buckets.join(hubs.select("key", F.col("hub.rep").alias("rep")), ["key", "rep"], "left_anti")
-    while True:  # over the members that have been no hub yet, in buckets that still hold several components
-        rooted = unsettled.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    # Later rounds go over the members that have been no hub yet, in buckets that still hold several components.
+    # A pair that links shares some 16 buckets, so each round takes every other band only, until both halves find nothing.
+    open_rows = buckets.join(hubs.select("key", F.col("hub.rep").alias("rep")), ["key", "rep"], "left_anti")
+    halves = [open_rows.where(F.col("band") % 2 == h) for h in (0, 1)]
+    turn = idle = 0
+    while idle < 2:
+        half = turn % 2
+        rooted = halves[half].join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
         mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
         rooted = settle(rooted.join(mixed, "key"), "unsettled")
         # Bands take turns: one takes the member that meets most others as its hub, the next one the second, so a text meets several hubs at a pair per bucket row.
         place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("met"), "rep"))
-        ranked = rooted.withColumn("place", place).where(F.col("place") <= _HUBS).where(F.col("place") <= F.col("band") % _HUBS + 1)
+        ranked = rooted.withColumn("place", place).where(F.col("place") <= _HUBS).where(F.col("place") <= F.floor(F.col("band") / 2) % _HUBS + 1)
         hubs = ranked.groupBy("key").agg(F.max_by(F.struct("rep", "n", "root"), "place").alias("hub"))
         pairs = rooted.join(hubs, "key").where("root <> hub.root").where(fits).select(*pair).distinct()
         fresh = settle(pairs.join(tested, ["id", "hub"], "left_anti"), "pairs")
         found = settle(_confirmed(fresh, sets, percent), "links")
-        if found.isEmpty():
-            break
-        unsettled = rooted.join(hubs.select("key", F.col("hub.rep").alias("rep")), ["key", "rep"], "left_anti").select("band", "key", "rep", "n", "met")
+        halves[half] = rooted.join(hubs.select("key", F.col("hub.rep").alias("rep")), ["key", "rep"], "left_anti").select("band", "key", "rep", "n", "met")
         tested = tested.unionByName(fresh)
-        links = links.unionByName(found)
-        discard(roots)
-        roots = settle(components(links), "roots")
+        turn, idle = turn + 1, idle + 1
+        if not found.isEmpty():
+            idle = 0
+            links = links.unionByName(found)
+            discard(roots)
+            roots = settle(components(links), "roots")
 
     rooted = classes.join(roots, classes["rep"] == roots["node"], "left").select("d1", "d2", F.coalesce("root", "rep").alias("root"))
+    rooted = settle(rooted, "classes")  # so that the join below can be split where a class is large
     out = signed.select("doc_id", "n", "d1", "d2").join(rooted, ["d1", "d2"], "left")
     component = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("root")).otherwise(F.col("doc_id"))
     out = out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
