@@ -174,6 +174,7 @@ def near_duplicates(docs: DataFrame, k: int = K, percent: int = PERCENT, bins: i
     # A pair that links shares some 16 buckets, so each round takes every other band only, until both halves find nothing.
     open_rows = buckets.join(hubs.select("key", F.col("hub.rep").alias("rep")), ["key", "rep"], "left_anti")
     halves = [open_rows.where(F.col("band") % 2 == h) for h in (0, 1)]
+    merged = None  # pairs of components that a later round has linked
     turn = idle = 0
     while idle < 2:
         half = turn % 2
@@ -184,17 +185,21 @@ def near_duplicates(docs: DataFrame, k: int = K, percent: int = PERCENT, bins: i
         place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("met"), "rep"))
         ranked = rooted.withColumn("place", place).where(F.col("place") <= _HUBS).where(F.col("place") <= F.floor(F.col("band") / 2) % _HUBS + 1)
         hubs = ranked.groupBy("key").agg(F.max_by(F.struct("rep", "n", "root"), "place").alias("hub"))
-        pairs = rooted.join(hubs, "key").where("root <> hub.root").where(fits).select(*pair).distinct()
-        fresh = settle(pairs.join(tested, ["id", "hub"], "left_anti"), "pairs")
-        found = settle(_confirmed(fresh, sets, percent), "links")
+        sides = [F.least("root", "hub.root").alias("low"), F.greatest("root", "hub.root").alias("high")]
+        pairs = rooted.join(hubs, "key").where("root <> hub.root").where(fits).select(*pair, *sides).distinct()
+        pairs = pairs.join(tested, ["id", "hub"], "left_anti")
+        fresh = settle(pairs if merged is None else pairs.join(merged, ["low", "high"], "left_anti"), "pairs")
+        found = settle(_confirmed(fresh.select("id", "hub"), sets, percent), "links")
         halves[half] = rooted.join(hubs.select("key", F.col("hub.rep").alias("rep")), ["key", "rep"], "left_anti").select("band", "key", "rep", "n", "met")
-        tested = tested.unionByName(fresh)
+        tested = tested.unionByName(fresh.select("id", "hub"))
         turn, idle = turn + 1, idle + 1
         if not found.isEmpty():
             idle = 0
             links = links.unionByName(found)
-            discard(roots)
-            roots = settle(components(links), "roots")
+            both = found.select(F.col("a").alias("id"), F.col("b").alias("hub")).join(fresh, ["id", "hub"]).select("low", "high")
+            merged = both if merged is None else merged.unionByName(both)
+    if merged is not None:
+        roots = settle(components(links), "roots")
 
     rooted = classes.join(roots, classes["rep"] == roots["node"], "left").select("d1", "d2", F.coalesce("root", "rep").alias("root"))
     rooted = settle(rooted, "classes")  # so that the join below can be split where a class is large
