@@ -73,13 +73,19 @@ _COPYRIGHT = r"(?m)^[^\p{L}\p{N}\n]*(?:copyright[ \t]|\(c\)|©|all rights reserv
 _NOT_WORD = r"[^\p{L}\p{N}\n]+"
 
 
+def _respelled(text: Column) -> Column:
+    for best, *others in SPELLINGS:
+        text = F.regexp_replace(text, f" (?:{'|'.join(others)})(?= )", f" {best}")
+    return text
+
+
 def canonical_lines(text: Column) -> Column:
     """The text in canonical form, its line ends kept, one blank at both ends of each line."""
     out = F.regexp_replace(F.lower(text), _COPYRIGHT, "")
     out = F.concat(F.lit(" "), F.regexp_replace(F.regexp_replace(out, _NOT_WORD, " "), "\n", " \n "), F.lit(" "))
-    for best, *others in SPELLINGS:
-        out = F.regexp_replace(out, f" (?:{'|'.join(others)})(?= )", f" {best}")
-    return out
+    # One search for any spelling spares most texts the replacements; the array keeps the steps before it from being repeated.
+    any_other = f" (?:{'|'.join(o for _, *others in SPELLINGS for o in others)}) "
+    return F.transform(F.array(out), lambda x: F.when(x.rlike(any_other), _respelled(x)).otherwise(x))[0]
 
 
 def canonical(text: Column) -> Column:
