@@ -19,20 +19,17 @@ def _state(edges: DataFrame) -> tuple:
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """edges: u > v. Large: a node's greater neighbours move to its smallest neighbour; small: its lesser ones and itself do.
-
-    The smallest neighbours are written first: joined as a table of their own, a hot hub's edges can be split among tasks.
-    """
+    """edges: u > v. Large: a node's greater neighbours move to its smallest neighbour; small: its lesser ones and itself do."""
     pairs = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
-    least = settle(pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+    least = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    if large:  # hubs are hot here: joined as a table of its own, their edges can be split among tasks
+        least = settle(least, "least")
     joined = pairs.join(least, "u")
     if large:
         moved = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         moved = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-    out = settle(moved.where("u > v").distinct(), "edges")
-    discard(least)
-    return out
+    return moved.where("u > v").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -41,9 +38,7 @@ def components(edges: DataFrame) -> DataFrame:
     stars = settle(stars, "edges")
     state = _state(stars)
     while state[0]:
-        wide = _star(stars, True)
-        new = _star(wide, False)
-        discard(wide)
+        new = settle(_star(_star(stars, True), False), "edges")
         discard(stars)
         stars, before = new, state
         state = _state(stars)
