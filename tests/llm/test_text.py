@@ -153,6 +153,22 @@ def test_near_duplicates(spark):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_near_duplicates_just_below_the_threshold(spark):
+    """Edited copies without their original, none like another, and one true link between two that meet the others least."""
+    rng = random.Random(12)
+    base, edits = rng.sample(WORDS, 600), []
+    while len(edits) < 121:
+        new = {*rng.sample(range(7, 590, 5), 6 if len(edits) < 120 else 8)}
+        if all(len(new & e) < 3 for e in edits):
+            edits.append(new)
+    edits.append({*sorted(edits[-1])[1:], max(set(range(7, 590, 5)) - edits[-1])})
+    rows = [((i + 60) % 122, " ".join(f"own{i}x{j}" if j in e else w for j, w in enumerate(base))) for i, e in enumerate(edits)]
+    want = near_by_hand(rows)
+    assert [i for i, (_, root) in want.items() if i != root] == [59]
+    got = minhash.near_duplicates(docs_of(spark, rows).repartition(6), bins=4, rows=1).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+
+
 def test_near_duplicates_awkward(spark):
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (1, "quite another text that shares its id"), (None, "a b c d e f"), (4, "a b c d e f")]
     got = {(r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(docs_of(spark, rows)).collect()}

@@ -8,7 +8,9 @@ only its smallest id goes on. In a bucket every class is paired with one hub (a
 star), the member that meets most others over all its buckets, so pairs never
 exceed bucket rows; pairs are confirmed on full shingle sets. A star can miss a
 link between two spokes, so buckets that still hold several components get new
-hubs, round after round, until a round finds nothing.
+hubs, round after round, until a round finds nothing. What is open then takes
+eight times as many hubs each round until no bucket holds a pair of two components
+that was not compared, so no pair that shares a bucket is left out.
 
 Edge cases: null, empty or blank texts have no shingles and link with nothing;
 texts of fewer words than a shingle count as one shingle; rows with a null
@@ -34,6 +36,7 @@ from tidegrid.llm.components import components
 K, BINS, ROWS, PERCENT = 5, 256, 6, 85
 _SPOKES = 256  # pairs that share one copy of a hub's shingle set
 _HUBS = 4  # ranks that later rounds take their hubs from, by band
+_MORE = 8  # hubs of a bucket in the first round over all that is left, and how many times more in each round after it
 
 
 @cache
@@ -176,15 +179,26 @@ def near_duplicates(docs: DataFrame, k: int = K, percent: int = PERCENT, bins: i
     halves = [open_rows.where(F.col("band") % 2 == h) for h in (0, 1)]
     merged = None  # pairs of components that a later round has linked
     turn = idle = 0
-    while idle < 2:
-        half = turn % 2
+    many = 0  # hubs of each bucket, once single hubs find nothing
+    while True:
+        if idle == 2 and not many:  # two halves without a link: both are taken together from here on
+            many, halves, turn = _MORE, [halves[0].unionByName(halves[1])], 0
+            if merged is not None:
+                roots, merged = settle(components(links), "roots"), None
+        half = turn % len(halves)
         rooted = halves[half].join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
         mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
         rooted = settle(rooted.join(mixed, "key"), "unsettled")
+        if many and rooted.isEmpty():
+            break
         # Bands take turns: one takes the member that meets most others as its hub, the next one the second, so a text meets several hubs at a pair per bucket row.
         place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("met"), "rep"))
-        ranked = rooted.withColumn("place", place).where(F.col("place") <= _HUBS).where(F.col("place") <= F.floor(F.col("band") / 2) % _HUBS + 1)
-        hubs = ranked.groupBy("key").agg(F.max_by(F.struct("rep", "n", "root"), "place").alias("hub"))
+        ranked = rooted.withColumn("place", place)
+        if many:
+            hubs = ranked.where(F.col("place") <= many).select("key", F.struct("rep", "n", "root").alias("hub"))
+        else:
+            ranked = ranked.where(F.col("place") <= _HUBS).where(F.col("place") <= F.floor(F.col("band") / 2) % _HUBS + 1)
+            hubs = ranked.groupBy("key").agg(F.max_by(F.struct("rep", "n", "root"), "place").alias("hub"))
         sides = [F.least("root", "hub.root").alias("low"), F.greatest("root", "hub.root").alias("high")]
         pairs = rooted.join(hubs, "key").where("root <> hub.root").where(fits).select(*pair, *sides).distinct()
         pairs = pairs.join(tested, ["id", "hub"], "left_anti")
@@ -192,7 +206,7 @@ def near_duplicates(docs: DataFrame, k: int = K, percent: int = PERCENT, bins: i
         found = settle(_confirmed(fresh.select("id", "hub"), sets, percent), "links")
         halves[half] = rooted.join(hubs.select("key", F.col("hub.rep").alias("rep")), ["key", "rep"], "left_anti").select("band", "key", "rep", "n", "met")
         tested = tested.unionByName(fresh.select("id", "hub"))
-        turn, idle = turn + 1, idle + 1
+        turn, idle, many = turn + 1, idle + 1, many * _MORE
         if not found.isEmpty():
             idle = 0
             links = links.unionByName(found)
