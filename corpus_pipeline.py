@@ -14,6 +14,7 @@ from tidegrid.llm import bpe, linededup, minhash, mixing, queries, toxicity
 from tidegrid.llm._store import settle, table
 
 MIX_PERCENT = 90
+NEAR_PERCENT = 80
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,8 +31,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays, the one with the smallest id."""
-    gone = minhash.near_duplicates(docs).where(~F.col("kept")).select("doc_id")
+    """One document of each component stays, the one with the smallest id; links are those of at least NEAR_PERCENT / 100 Jaccard."""
+    gone = minhash.near_duplicates(docs, percent=NEAR_PERCENT).where(~F.col("kept")).select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 

@@ -339,6 +339,14 @@ def test_pipeline(spark, tmp_path):
     assert sorted((r.doc_id, bytes(r.ids)) for r in again.collect()) == sorted((r.doc_id, bytes(r.ids)) for r in last)
 
 
+def test_pipeline_near_copies_between_80_and_85_percent(spark, tmp_path):
+    base = [f"w{j}" for j in range(104)]
+    texts = [base, [*base[:20], "x", *base[21:50], "y", *base[51:]], [*base[:20], "p", *base[21:40], "q", *base[41:60], "r", *base[61:80], "s", *base[81:]]]
+    docs = docs_of(spark, [(i, " ".join(t)) for i, t in enumerate(texts)])  # 90 of 110 shingles between 0 and 1, under 0.7 elsewhere
+    out = corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path))
+    assert sorted(r.doc_id for r in out.collect()) == [0, 2]
+
+
 def test_pipeline_of_nothing(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
