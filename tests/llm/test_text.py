@@ -114,13 +114,15 @@ def near_by_hand(rows):
             x = root[x]
         return x
 
-    ids = sorted(sets)
-    for a in range(len(ids)):
-        for b in range(a):
-            x, y = sets[ids[a]], sets[ids[b]]
-            if x and y and 100 * len(x & y) >= 85 * len(x | y):
-                p, q = find(ids[a]), find(ids[b])
-                root[max(p, q)] = min(p, q)
+    ids = [i for i in sorted(sets) if sets[i]]
+    words = {g: j for j, g in enumerate({g for s in sets.values() for g in s})}
+    has = np.zeros((len(ids), len(words)), np.float32)
+    for row, i in enumerate(ids):
+        has[row, [words[g] for g in sets[i]]] = 1
+    common, size = has @ has.T, has.sum(axis=1)
+    for a, b in np.argwhere(100 * common >= 85 * (size[:, None] + size - common)):
+        p, q = find(ids[a]), find(ids[b])
+        root[max(p, q)] = min(p, q)
     return {i: (len(s), find(i)) for i, s in sets.items()}
 
 
@@ -169,6 +171,47 @@ def test_near_duplicates_just_below_the_threshold(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
 
 
+def template_rows(n, further, seed):
+    """Texts of one template, six words of each replaced, and some that differ from one of them by six further words."""
+    rng = random.Random(seed)
+    base = [rng.choice(WORDS) for _ in range(600)]
+
+    def edited(words):
+        out = list(words)
+        for j in rng.sample(range(600), 6):
+            out[j] = f"own{rng.randrange(10**9)}"
+        return out
+
+    texts = [edited(base) for _ in range(n)]
+    texts += [edited(rng.choice(texts)) for _ in range(further)]
+    ids = rng.sample(range(10 * len(texts)), len(texts))
+    return [(i, " ".join(t)) for i, t in zip(ids, texts, strict=True)]
+
+
+@pytest.mark.parametrize("seed, cell, size", [(11, 2048, 4 << 20), (4, 2048, 1 << 20), (5, 40, 1 << 17)])
+def test_near_duplicates_of_a_template(spark, monkeypatch, seed, cell, size):
+    """Most pairs lie just below the threshold; the blocks are many where cell and size are small."""
+    rows = template_rows(300, 4, seed)
+    monkeypatch.setattr(minhash, "_CELL", cell)
+    monkeypatch.setattr(minhash, "_BYTES", size)
+    want = near_by_hand(rows)
+    assert 20 < len({c for _, c in want.values()}) < 250
+    got = minhash.near_duplicates(docs_of(spark, rows).repartition(6)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+
+
+def test_signatures_of_linking_pairs_agree():
+    rng = np.random.default_rng(3)
+    least = minhash.least_agreement(minhash.BINS, 80)
+    assert 0.5 * minhash.BINS < least < 0.7 * minhash.BINS and minhash.least_agreement(4, 85) == 0
+    for n in (9, 27, 90, 270, 900, 3000):
+        for _ in range(150):
+            pool = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1))
+            cut = len(pool) // 10  # both lack another tenth: a similarity of 0.8
+            x, y = (minhash.signature(pool[s]) for s in (slice(cut, None), slice(0, len(pool) - cut)))
+            assert (x == y).sum() >= least
+
+
 def test_near_duplicates_awkward(spark):
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (1, "quite another text that shares its id"), (None, "a b c d e f"), (4, "a b c d e f")]
     got = {(r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(docs_of(spark, rows)).collect()}

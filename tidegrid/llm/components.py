@@ -7,12 +7,36 @@ Nothing but two numbers a round reaches the driver.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegrid.llm._store import discard, settle
 
 
+class Forest:
+    """Components of n nodes of one task under the links seen so far; of: each node's least node."""
+
+    def __init__(self, n: int):
+        self.of = np.arange(n)
+
+    def join(self, a: np.ndarray, b: np.ndarray) -> None:
+        while True:
+            x, y = self.of[a], self.of[b]
+            if (x == y).all():
+                return
+            low = np.minimum(x, y)
+            np.minimum.at(self.of, x, low)
+            np.minimum.at(self.of, y, low)
+            while (self.of != (up := self.of[self.of])).any():
+                self.of = up
+
+    def edges(self) -> tuple[np.ndarray, np.ndarray]:
+        """Each node that is not the least of its component, and that one."""
+        moved = np.flatnonzero(self.of != np.arange(len(self.of)))
+        return moved, self.of[moved]
+
+
 def _state(edges: DataFrame) -> tuple:
     row = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     return tuple(row)
