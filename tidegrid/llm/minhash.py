@@ -153,7 +153,8 @@ def _confirm(percent: int):
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """pairs (id, hub), distinct; sets (id, grams). Returns the links (a, b). A hub's set is sent once to every _SPOKES spokes."""
-    salts = pairs.groupBy("hub").agg(F.ceil(F.count("*") / _SPOKES).cast("int").alias("salts"))
+    # A table of its own, so that the join below can be split where a hub has many spokes.
+    salts = settle(pairs.groupBy("hub").agg(F.ceil(F.count("*") / _SPOKES).cast("int").alias("salts")), "salts")
     spokes = pairs.join(salts, "hub").select("id", "hub", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"))
     hubs = salts.select(F.col("hub").alias("id"), "hub", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     rows = spokes.withColumn("side", F.lit(1)).unionByName(hubs.withColumn("side", F.lit(0))).join(sets, "id")
@@ -352,7 +353,7 @@ def near_duplicates(docs: DataFrame, k: int = K, percent: int = PERCENT, bins: i
     linkable = signed.where("n > 0 and doc_id is not null")
     classes = settle(linkable.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")), "classes")
     keyed = classes.withColumn("doc_id", F.col("rep"))  # joined on the id as well, so a large class is no hot key
-    reps = linkable.join(keyed, ["doc_id", "d1", "d2"]).dropDuplicates(["doc_id", "d1", "d2"]).select("rep", "n", "bands", "sig")
+    reps = linkable.join(keyed.hint("merge"), ["doc_id", "d1", "d2"]).dropDuplicates(["doc_id", "d1", "d2"]).select("rep", "n", "bands", "sig")
     reps = settle(reps, "representatives")
     rows_ = reps.select("rep", "n", F.explode("bands").alias("key"))
     crowded = rows_.groupBy("key").agg(F.count("*").alias("crowd")).where("crowd > 1")
@@ -362,7 +363,7 @@ def near_duplicates(docs: DataFrame, k: int = K, percent: int = PERCENT, bins: i
     buckets = settle(rows_.join(met, "rep").select("key", "rep", "n", "met"), "buckets")
     discard(rows_)
     needed = buckets.select(F.col("rep").alias("doc_id")).distinct()
-    sets = settle(texts(docs).join(needed, "doc_id", "left_semi").mapInArrow(_gram_sets(k), "id long, grams binary"), "sets")
+    sets = settle(texts(docs).join(needed.hint("merge"), "doc_id", "left_semi").mapInArrow(_gram_sets(k), "id long, grams binary"), "sets")
 
     hubs = buckets.groupBy("key").agg(F.max(F.struct("met", "rep", "n")).alias("hub"))
     fits = 100 * F.least("n", "hub.n") >= percent * F.greatest("n", "hub.n")
