@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tidegrid.llm._store import discard, settle
 
-_MARK = r"^((?:[ \t]*>)*)"
+_MARK = r"^([ \t>]*>)"  # classes only: a repeated group would recurse once a marker
 _ATTRIBUTION = r"^[ \t]*(?:on|am|le|el) .{1,200}(?:wrote|schrieb|écrit|escribió)[ \t]*:[ \t]*$"
 
 
