@@ -191,6 +191,25 @@ def test_pseudonyms(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_pseudonyms_of_long_texts(spark):
+    """No pattern may recurse once a character or a repeated part."""
+    n = 1_000_000
+    texts = ["x@" + "a." * (n // 2), "x@" + "ab." * (n // 3), ">" * n, "1" * n, "1 " * (n // 2), "@" * n, "a@" * (n // 2), "1." * (n // 2), "." * n, "1-" * (n // 2)]
+    rows = [(i, t + " 10.0.0.1") for i, t in enumerate(texts)]
+    out = pii.pseudonymise(docs_of(spark, rows), "k").select("doc_id", F.length("text").alias("n"), "n_replaced").collect()
+    assert sorted(r.doc_id for r in out) == list(range(len(texts))) and all(r.n_replaced >= 1 and r.n >= n - 2 for r in out)
+
+
+def test_cards_beside_other_numbers(spark):
+    card, odd = "4111 1111 1111 1111", "10.0.0.1 010.0.0.1"
+    rows = [(1, f"{card} 42 items"), (2, f"12 {card}"), (3, f"{card} {card}"), (4, odd), (5, "3782 822463 10005")]
+    got = {r.doc_id: r for r in pii.pseudonymise(docs_of(spark, rows), "k").collect()}
+    assert [got[i].n_replaced for i in range(1, 6)] == [1, 1, 2, 1, 1] and all(card not in got[i].text for i in (1, 2, 3))
+    assert got[1].text.endswith(" 42 items") and got[2].text.startswith("12 ") and got[4].text.endswith(" 010.0.0.1")
+    back = pii.pseudonymise(docs_of(spark, [(i, r.text) for i, r in got.items()]), "k", inverse=True)
+    assert {r.doc_id: r.text for r in back.collect()} == dict(rows)
+
+
 def test_feistel_is_a_permutation(spark):
     days = spark.range(189 * 773)
     pair = pii.feistel(F.floor(F.col("id") / 773), F.col("id") % 773, F.lit(189), F.lit(773), "k", F.lit("date"))
@@ -295,6 +314,10 @@ def test_quotes(spark):
     chain = spark.createDataFrame([(9, i, "u", f"> word {i - 1}\nword {i}" if i else "word 0") for i in range(40)], "conv_id long, turn long, role string, text string")
     assert [(r.root, r.depth) for r in quotes.link(chain).orderBy("turn").collect()] == [(0, i) for i in range(40)]
     assert quotes.link(df.limit(0)).count() == 0
+    n = 1_000_000
+    long = [(1, 0, "u", "word"), (1, 1, "u", ">" * n + " word\nx"), (1, 2, "u", "> " * (n // 2) + "word"), (1, 3, "u", "> word\n" * 20_000 + "y"), (1, 4, "u", " \t" * (n // 2))]
+    long = spark.createDataFrame(long, "conv_id long, turn long, role string, text string")
+    assert [r.said for r in quotes.link(long).orderBy("turn").collect()] == ["word", "x", "", "y", " \t" * (n // 2)]
     assert "Python" not in quotes.parse(df)._jdf.queryExecution().executedPlan().toString()
 
 

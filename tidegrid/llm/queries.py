@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -107,8 +108,12 @@ SELECT doc_id, domain, lang, source, n_tokens, CAST(epochs + CASE WHEN rest > 0
 )
 
 
-def op5_pii(spark: SparkSession, sf_dir: str, key: str = "tidegrid") -> DataFrame:
-    """key: the secret of the pseudonyms; the default is for tests only."""
+def op5_pii(spark: SparkSession, sf_dir: str, key: str | None = None) -> DataFrame:
+    """key: the secret of the pseudonyms, by default that in spark.tidegrid.pii.key; without either a public one that is for tests only, with a warning."""
+    key = key or spark.conf.get("spark.tidegrid.pii.key", None)
+    if not key:
+        warnings.warn("no secret key: these pseudonyms can be undone by anyone", stacklevel=2)
+        key = "tidegrid"
     return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), key)
 
 
