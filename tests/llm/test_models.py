@@ -277,6 +277,25 @@ def test_graph_recall(groups):
     assert found <= true and len(found) == len(a) and len(found) >= 0.97 * len(true)
 
 
+def test_audits_count_each_query_alike():
+    """A hot group's links do not hide that lone pairs are missed, and a query is no link of its own."""
+    rng = np.random.default_rng(2)
+    v = np.concatenate([rng.normal(size=(1, 24)) + rng.normal(size=(1500, 24)) * 0.15, rng.normal(size=(1500, 24))])
+    pairs = np.arange(1500, 3000, 3)
+    v[pairs + 1] = v[pairs] + rng.normal(size=(len(pairs), 24)) * 0.02
+    u = hnsw.units(v.ravel(), 24)
+    graph, some = hnsw.Graph(u), np.arange(0, 3000, 4)
+    ef, true, found = hnsw._audit(graph, u[some], some, 0.9, 0.99)
+    near = u[some] @ u.T >= 0.9
+    near[np.arange(len(some)), some] = False
+    assert true == near.sum() and found <= true
+    a, b = graph.linked(u[some], 0.9, ef)
+    hit = np.bincount(a[some[a] != b], minlength=len(some))
+    linked = near.sum(axis=1) > 0
+    assert np.mean(hit[linked] / near.sum(axis=1)[linked]) >= 0.99
+    assert hnsw._audit(graph, u[some[:0]], some[:0], 0.9, 0.99)[1:] == (0, 0)
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(i, i + 1) for i in range(0, 200)] + [(1000, 1000 + i) for i in range(300)] + [(rng.randrange(2000, 3000), rng.randrange(2000, 3000)) for _ in range(500)] + [(7, 7), (None, 3)]

@@ -4,10 +4,13 @@ Equal vectors are one class, and one vector of each class goes on. Classes are
 dealt to shards by hash; a task builds its shard's graph and then takes the
 vectors of all shards as queries, in batches. Searches run as array arithmetic
 over a batch: a beam per query, a few of its best unexpanded entries opened at a
-time. A beam whose worst entry is still a link is widened until it is not, and a
-share of each batch is compared with brute force: while fewer than RECALL of those
-links are found, all beams double (at the shard's size a beam is brute force).
-Links are confirmed by cosine in double precision.
+time. A beam whose worst entry is still a link is widened until it is not. Before
+the search some AUDIT queries a shard, chosen by hash, are compared with brute
+force: each has the share of its own links found, itself left out, and while the
+mean of these shares is below RECALL all beams double (at the shard's size a beam
+is brute force). A hot group's many links so count no more than a lone pair's, and
+the audits' work grows with the vectors. What they found is logged. Links are
+confirmed by cosine in double precision.
 
 A task never emits pairs: it returns each query's number of links and one linked
 node, and each node's root under a union over all links it has seen, which is
@@ -23,6 +26,7 @@ ignored.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,12 +35,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegrid.llm._store import settle
-from tidegrid.llm.components import components
+from tidegrid.llm.components import Forest, components
 
 THRESHOLD, RECALL = 0.9, 0.99
 SHARD, MIN_SHARDS = 65_536, 12
 M, EF_BUILD, EF_SEARCH = 12, 24, 16
-_OPEN, _BLOCK, _AUDIT = 4, 512, 8
+AUDIT = 2048
+_OPEN, _BLOCK = 4, 512
+_NODES, _AUDITED, _QUERIES = 0, 1, 2
+_log = logging.getLogger(__name__)
 
 
 def units(flat: np.ndarray, dim: int) -> np.ndarray:
@@ -200,33 +207,53 @@ class Graph:
         return a[sure], b[sure]
 
 
-class _Roots:
-    """Components of a shard's nodes under the links seen so far."""
-
-    def __init__(self, n: int):
-        self.of = np.arange(n)
-
-    def join(self, a: np.ndarray, b: np.ndarray) -> None:
-        while True:
-            x, y = self.of[a], self.of[b]
-            if (x == y).all():
-                return
-            low = np.minimum(x, y)
-            np.minimum.at(self.of, x, low)
-            np.minimum.at(self.of, y, low)
-            while (self.of != (up := self.of[self.of])).any():
-                self.of = up
+def _audit(graph: Graph, q: np.ndarray, itself: np.ndarray, threshold: float, recall: float) -> tuple[int, int, int]:
+    """The beam that finds, of the links that brute force finds from each query but to itself, at least that share on the mean; links there are, links found."""
+    ef, n = EF_SEARCH, len(graph.v)
+    true = np.zeros(len(q), np.int64)
+    for b in range(0, len(q), 256):
+        true[b : b + 256] = (q[b : b + 256] @ graph.exact.T >= threshold).sum(axis=1)
+    true -= itself >= 0
+    some = np.flatnonzero(true)
+    while True:
+        a, x = graph.linked(q[some], threshold, ef)
+        found = np.bincount(a[x != itself[some[a]]], minlength=len(some))
+        if ef >= n or not len(some) or np.mean(np.minimum(1, found / true[some])) >= recall:
+            return ef, int(true.sum()), int(found.sum())
+        ef *= 2
 
 
 def _search(threshold: float, recall: float):
-    """Streams shards one after another: a shard's nodes first, then the queries in batches."""
-
-    def finish(ids: np.ndarray, roots: _Roots) -> pa.RecordBatch:
-        moved = np.flatnonzero(roots.of != np.arange(len(ids)))
-        return _rows(ids[moved], np.zeros(len(moved), np.int64), ids[roots.of[moved]])
+    """Streams shards one after another: a shard's nodes first, then the audited queries, then all queries in batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, ids, sizes, vectors, graph, roots, ef = None, [], [], [], None, None, EF_SEARCH
+        shard, kept, graph, ef = None, {}, None, EF_SEARCH
+
+        def built() -> Graph:
+            kept["ids"], kept["sizes"] = np.concatenate(kept["ids"]), np.concatenate(kept["sizes"])
+            kept["place"] = np.argsort(kept["ids"])
+            made = Graph(np.concatenate(kept.pop("vectors")))
+            kept["forest"] = Forest(len(kept["ids"]))
+            return made
+
+        def placed(rep: np.ndarray) -> np.ndarray:
+            """Where each query itself is among the nodes, -1: nowhere."""
+            ids, order = kept["ids"], kept["place"]
+            at = order[np.minimum(np.searchsorted(ids, rep, sorter=order), len(ids) - 1)]
+            return np.where(ids[at] == rep, at, -1)
+
+        def audited() -> Iterator[pa.RecordBatch]:
+            nonlocal ef
+            if kept.get("audit"):
+                rep, q = (np.concatenate(c) for c in zip(*kept.pop("audit"), strict=True))
+                ef, true, found = _audit(graph, q, placed(rep), threshold, recall)
+                yield _rows(None, [true], [found])
+
+        def finish() -> Iterator[pa.RecordBatch]:
+            if graph is not None:
+                nodes, least = kept["forest"].edges()
+                yield _rows(kept["ids"][nodes], np.zeros(len(nodes), np.int64), kept["ids"][least])
+
         for batch in batches:
             keys = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("dim", "shard", "side")])
             cuts = np.flatnonzero((np.diff(keys, axis=0) != 0).any(axis=1)) + 1
@@ -238,44 +265,39 @@ def _search(threshold: float, recall: float):
                 rep = part.column("rep").to_numpy()
                 q = units(part.column("embedding").flatten().to_numpy(zero_copy_only=False), dim)
                 if shard != tuple(keys[b, :2]):
-                    if roots is not None:
-                        yield finish(ids, roots)
-                    shard, ids, sizes, vectors, graph, roots, ef = tuple(keys[b, :2]), [], [], [], None, None, EF_SEARCH
-                if side == 0:
-                    ids.append(rep)
-                    sizes.append(part.column("size").to_numpy())
-                    vectors.append(q)
+                    yield from finish()
+                    shard, kept, graph, ef = tuple(keys[b, :2]), {"ids": [], "sizes": [], "vectors": [], "audit": []}, None, EF_SEARCH
+                if side == _NODES:
+                    kept["ids"].append(rep)
+                    kept["sizes"].append(part.column("size").to_numpy())
+                    kept["vectors"].append(q)
                     continue
-                if graph is None and not ids:
+                if graph is None and not len(kept["ids"]):
                     continue  # no node of this length fell to this shard
                 if graph is None:
-                    ids, sizes = np.concatenate(ids), np.concatenate(sizes)
-                    graph, roots, vectors = Graph(np.concatenate(vectors)), _Roots(len(ids)), []
+                    graph = built()
+                if side == _AUDITED:
+                    kept["audit"].append((rep, q))
+                    continue
+                yield from audited()
                 for at in range(0, len(q), 4096):
                     block, own = q[at : at + 4096], rep[at : at + 4096]
-                    while True:
-                        a, x = graph.linked(block, threshold, ef)
-                        audit = np.arange(0, len(block), _AUDIT)
-                        true = int((block[audit] @ graph.exact.T >= threshold).sum())
-                        found = int((a % _AUDIT == 0).sum())
-                        if found >= recall * true or ef >= len(ids):
-                            break
-                        ef *= 2
+                    a, x = graph.linked(block, threshold, ef)
                     first = np.full(len(block), -1)
                     first[a[::-1]] = x[::-1]
-                    roots.join(x, first[a])
-                    other = ids[x] != own[a]
-                    n = np.bincount(a[other], sizes[x[other]], len(block)).astype(np.int64)
+                    kept["forest"].join(x, first[a])
+                    other = kept["ids"][x] != own[a]
+                    n = np.bincount(a[other], kept["sizes"][x[other]], len(block)).astype(np.int64)
                     some = np.flatnonzero(first >= 0)
-                    yield _rows(own[some], n[some], ids[first[some]])
-        if roots is not None:
-            yield finish(ids, roots)
+                    yield _rows(own[some], n[some], kept["ids"][first[some]])
+        yield from finish()
 
     return run
 
 
-def _rows(rep: np.ndarray, n: np.ndarray, near: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(rep, pa.int64()), pa.array(n, pa.int64()), pa.array(near, pa.int64())], ["rep", "n", "near"])
+def _rows(rep: np.ndarray | None, n: np.ndarray, near: np.ndarray) -> pa.RecordBatch:
+    """Without rep: an audit's links there are (n) and links found (near)."""
+    return pa.RecordBatch.from_arrays([pa.array([None] * len(n) if rep is None else rep, pa.int64()), pa.array(n, pa.int64()), pa.array(near, pa.int64())], ["rep", "n", "near"])
 
 
 def sound(vector: Column) -> Column:
@@ -293,17 +315,24 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: fl
     keyed = classes.withColumn("vec_id", F.col("rep"))  # joined on the id as well, so a large class is no hot key
     reps = rows.where("sound").join(keyed, ["vec_id", "h1", "h2"]).dropDuplicates(["vec_id", "h1", "h2"])
     reps = settle(reps.select("rep", "h1", "h2", "size", F.size("embedding").alias("dim"), "embedding"), "vectors")
-    shards = max(min_shards, -(-reps.count() // shard_rows))
-    nodes = reps.select("dim", F.pmod(F.xxhash64("rep"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("side"), "rep", "size", "embedding")
-    queries = reps.select("dim", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("side"), "rep", "size", "embedding")
-    work = nodes.unionByName(queries.select(*nodes.columns)).repartitionByRange("dim", "shard").sortWithinPartitions("dim", "shard", "side", "rep")
+    count = reps.count()
+    shards = max(min_shards, -(-count // shard_rows))
+    rows_of = lambda df, side: df.withColumn("side", F.lit(side)).select("dim", "shard", "side", "rep", "size", "embedding")
+    everywhere = reps.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    chosen = F.pmod(F.xxhash64(F.lit("audit"), "rep"), F.lit(max(1, count))) < AUDIT
+    work = rows_of(reps.withColumn("shard", F.pmod(F.xxhash64("rep"), F.lit(shards)).cast("int")), _NODES)
+    work = work.unionByName(rows_of(everywhere.where(chosen), _AUDITED)).unionByName(rows_of(everywhere, _QUERIES))
+    work = work.repartitionByRange("dim", "shard").sortWithinPartitions("dim", "shard", "side", "rep")
     found = settle(work.mapInArrow(_search(threshold, recall), "rep long, n long, near long"), "links")
+    true, hit = found.where("rep is null").agg(F.sum("n"), F.sum("near")).first()
+    _log.info("audits found %s of %s links", hit, true)
+    found = found.where("rep is not null")
     links = found.groupBy("rep").agg(F.sum("n").alias("n"))
     roots = components(found.select(F.col("rep").alias("a"), F.col("near").alias("b")))
     known = reps.select("rep", "h1", "h2", "size").join(links, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
     known = known.select("h1", "h2", (F.col("size") - 1 + F.coalesce("n", F.lit(0))).alias("n"), F.coalesce("root", "rep").alias("root"))
-    out = rows.select("vec_id", "sound", F.when(F.col("sound"), F.col("h1")).alias("h1"), F.when(F.col("sound"), F.col("h2")).alias("h2"))
-    out = out.join(known, ["h1", "h2"], "left")
-    component = F.when(F.col("sound"), F.col("root")).otherwise(F.col("vec_id"))
-    out = out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"))
+    known = settle(known, "known")  # so that the join below can be split where a class is large
+    sure = rows.where("sound").select("vec_id", "h1", "h2").join(known, ["h1", "h2"], "left").select("vec_id", "n", F.col("root").alias("component_id"))
+    rest = rows.where("not sound").select("vec_id", F.lit(0).cast("long").alias("n"), F.col("vec_id").alias("component_id"))
+    out = sure.unionByName(rest).select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), "component_id")
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
