@@ -46,6 +46,18 @@ def _stitched(parts: DataFrame, chunk: int) -> DataFrame:
     return parts.where(~edge).withColumn("run_begin", F.col("b")).unionByName(edges)
 
 
+def _numbered(parts: DataFrame, chunk: int, length: int) -> DataFrame:
+    """parts of _stitched() with first_block, the number of the run's first block in the channel: counted by run and summed up by chunk, before any sample is touched."""
+    runs = parts.groupBy("channel", "run_begin").agg(F.sum(F.col("l") - F.col("b") + 1).alias("n"))
+    runs = runs.withColumns({"blocks": F.ceil(F.col("n") / length), "__c": F.expr(f"run_begin div {chunk}")})
+    totals = runs.groupBy("channel", "__c").agg(F.sum("blocks").alias("all"))
+    before = lambda keys, order: Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("channel", "__c", F.coalesce(F.sum("all").over(before(["channel"], "__c")), F.lit(0)).alias("ahead"))
+    within = F.coalesce(F.sum("blocks").over(before(["channel", "__c"], "run_begin")), F.lit(0))
+    runs = runs.withColumn("within", within).join(totals, ["channel", "__c"]).select("channel", "run_begin", (F.col("ahead") + F.col("within")).alias("first_block"))
+    return parts.join(runs, ["channel", "run_begin"]).select("channel", "chunk", "island", "run_begin", "first_block")
+
+
 def tile(samples: DataFrame, start_uutc: int, fs: float, block_len: int | None = None, first_sample: int = 0, chunk: int = CHUNK, collect: bool = True) -> DataFrame:
     """samples (channel, pos, count, valid) as blocks: channel, block_no, start_uutc, end_uutc, start_sample, number_of_samples, extrema, discontinuity, total, samples.
 
@@ -55,18 +67,18 @@ def tile(samples: DataFrame, start_uutc: int, fs: float, block_len: int | None =
     length = block_len or (int(fs) if fs >= 5000 else int(fs * 10))
     rows = pieces(samples, chunk)
     parts = rows.groupBy("channel", "chunk", "island").agg(F.min("pos").alias("b"), F.max("pos").alias("l"))
-    rows = rows.join(_stitched(parts, chunk).select("channel", "chunk", "island", "run_begin"), ["channel", "chunk", "island"])
+    rows = rows.join(_numbered(_stitched(parts, chunk), chunk, length), ["channel", "chunk", "island"])
     rows = rows.withColumn("tile", F.expr(f"(pos - run_begin) div {length}"))
     listed = {"samples": F.transform(F.array_sort(F.collect_list(F.struct("pos", "count"))), lambda x: x["count"])} if collect else {}
-    blocks = rows.groupBy("channel", "run_begin", "tile").agg(
+    blocks = rows.groupBy("channel", "run_begin", "first_block", "tile").agg(
         F.min("pos").alias("pos"), F.min("stored").alias("start_sample"), F.count("*").alias("number_of_samples"), F.max("count").alias("maximum_sample_value"),
         F.min("count").alias("minimum_sample_value"), F.sum("count").alias("total"), *(c.alias(n) for n, c in listed.items()),
     )
-    block_no = (F.row_number().over(Window.partitionBy("channel").orderBy("pos")) - 1).cast("int")
+    block_no = (F.col("first_block") + F.col("tile")).cast("int")
     begin = tg.block_start(F.lit(start_uutc), "pos", F.lit(fs))
     blocks = blocks.withColumns({"block_no": block_no, "start_uutc": begin, "start_sample": F.col("start_sample") + first_sample, "discontinuity": F.col("tile") == 0})
     blocks = blocks.withColumn("end_uutc", tg.block_end("start_uutc", "number_of_samples", F.lit(fs)))
-    return blocks.drop("run_begin", "tile", "pos")
+    return blocks.drop("run_begin", "first_block", "tile", "pos")
 
 
 def gap_count(runs: DataFrame) -> DataFrame:

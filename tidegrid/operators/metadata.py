@@ -6,14 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegrid.functions import timegrid as tg
-from tidegrid.model import FILTER_NONE, GMT_NONE
+from tidegrid.model import FILTER_NONE
 
+#: Names, order, types and defaults of the acquisition and subject fields.
 ACQUISITION = {
     "session_description": ("string", ""), "channel_description": ("string", ""), "reference_description": ("string", ""), "acquisition_channel_number": ("long", 1),
     "low_frequency_filter": ("double", FILTER_NONE), "high_frequency_filter": ("double", FILTER_NONE), "notch_filter": ("double", FILTER_NONE), "line_frequency": ("double", FILTER_NONE),
 }
 SUBJECT = {
-    "name_1": ("string", ""), "name_2": ("string", ""), "id": ("string", ""), "recording_location": ("string", ""), "gmt_offset": ("int", GMT_NONE),
+    "name_1": ("string", ""), "name_2": ("string", ""), "id": ("string", ""), "recording_location": ("string", ""), "gmt_offset": ("int", 0),
 }
 #: The flat column of each subject field.
 SUBJECT_COLUMNS = {"name_1": "subject_name_1", "name_2": "subject_name_2", "id": "subject_id", "recording_location": "recording_location", "gmt_offset": "gmt_offset"}

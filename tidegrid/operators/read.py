@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tidegrid.functions import timegrid as tg
 
 _CHUNK = 1 << 16  # grid rows one task makes from one row
+_SPAN = 1 << 26  # grid positions whose blocks one task orders
+_BLOCKS = 1 << 16  # blocks that one task orders
 
 
 def grid(windows: DataFrame) -> DataFrame:
@@ -64,9 +66,7 @@ def read_raw(blocks: DataFrame, t0: int, t1: int, fs: float) -> DataFrame:
     hits = within(blocks, t0, t1)
     spans = hits.select("channel", "segment", "block_no", tg.grid_index("start_uutc", F.lit(t0), F.lit(fs)).alias("b"), "number_of_samples")
     spans = spans.withColumn("e", F.col("b") + F.col("number_of_samples"))
-    order = Window.partitionBy("channel").orderBy("b", "e")
-    reach = F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    spans = spans.withColumn("reach", reach)
+    spans = _reached(spans)
     rows = samples_of(hits, F.lit(t0), F.lit(fs)).where(F.col("idx").between(0, n - 1))
     if spans.where("b < reach").isEmpty():
         rows = rows.select("channel", "idx", "count")
@@ -82,6 +82,16 @@ def read_raw(blocks: DataFrame, t0: int, t1: int, fs: float) -> DataFrame:
     return rows.withColumn("valid", F.lit(True)).unionByName(holes.withColumns({"count": F.lit(None).cast("int"), "valid": F.lit(False)}))
 
 
+def _reached(spans: DataFrame, span: int = _SPAN) -> DataFrame:
+    """spans (channel, b, e) with reach, the farthest end of the channel's spans before it: by stretches of positions, with what earlier stretches reach joined on."""
+    ahead = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    rows = spans.withColumn("__c", F.expr(f"b div {span}"))
+    far = rows.groupBy("channel", "__c").agg(F.max("e").alias("far"))
+    far = far.select("channel", "__c", F.max("far").over(ahead(Window.partitionBy("channel").orderBy("__c"))).alias("__far"))
+    inside = F.max("e").over(ahead(Window.partitionBy("channel", "__c").orderBy("b", "e")))
+    return rows.withColumn("__in", inside).join(far, ["channel", "__c"]).withColumn("reach", F.greatest("__in", "__far")).drop("__c", "__in", "__far")
+
+
 def scaled(raw: DataFrame, channels: DataFrame) -> DataFrame:
     """raw with value in physical units, by each channel's own factor."""
     return raw.join(channels.select(F.col("name").alias("channel"), "units_conversion_factor"), "channel").withColumn("value", tg.scale("count", "units_conversion_factor", "valid")).drop("units_conversion_factor")
@@ -100,15 +110,24 @@ def windows_over(blocks: DataFrame, windows: DataFrame, bucket_us: int) -> DataF
     return met.where(F.col("__bucket") == F.expr(f"greatest(start_uutc, t0) div {bucket_us}")).drop("__bucket")
 
 
-def runs(blocks: DataFrame) -> DataFrame:
+def runs(blocks: DataFrame, size: int = _BLOCKS) -> DataFrame:
     """Maximal contiguous runs of blocks: channel, run, start_uutc, start_sample, number_of_samples, blocks.
 
     A run starts at a discontinuity or where start_sample is not what the block before led to.
+    Blocks are ordered by groups of size numbers; only what a group begins and ends with meets in a window per channel.
     """
-    order = Window.partitionBy("channel").orderBy("segment", "block_no")
-    expected = F.lag(F.col("start_sample") + F.col("number_of_samples")).over(order)
-    starts = F.col("discontinuity") | expected.isNull() | (expected != F.col("start_sample"))
-    marked = blocks.withColumn("__new", starts.cast("int")).withColumn("run", F.sum("__new").over(order) - 1)
+    rows = blocks.withColumns({"__c": F.expr(f"block_no div {size}"), "__due": F.col("start_sample") + F.col("number_of_samples")})
+    inner, outer = Window.partitionBy("channel", "segment", "__c").orderBy("block_no"), Window.partitionBy("channel").orderBy("segment", "__c")
+    starts = lambda due: (F.col("discontinuity") | due.isNull() | (due != F.col("start_sample"))).cast("int")
+    rows = rows.withColumns({"__place": F.row_number().over(inner), "__new": starts(F.lag("__due").over(inner))})
+    groups = rows.groupBy("channel", "segment", "__c").agg(
+        F.max_by("__due", "block_no").alias("__due"), F.min_by("discontinuity", "block_no").alias("discontinuity"), F.min_by("start_sample", "block_no").alias("start_sample"), F.sum("__new").alias("__n")
+    )
+    groups = groups.withColumn("__first", starts(F.lag("__due").over(outer)))
+    ahead = F.sum(F.col("__n") - 1 + F.col("__first")).over(outer.rowsBetween(Window.unboundedPreceding, -1))
+    groups = groups.select("channel", "segment", "__c", "__first", F.coalesce(ahead, F.lit(0)).alias("__ahead"))
+    marked = rows.join(groups, ["channel", "segment", "__c"]).withColumn("__new", F.when(F.col("__place") == 1, F.col("__first")).otherwise(F.col("__new")))
+    marked = marked.withColumn("run", F.col("__ahead") + F.sum("__new").over(inner) - 1)
     first = F.struct("segment", "block_no")
     return marked.groupBy("channel", "run").agg(
         F.min_by("start_uutc", first).alias("start_uutc"), F.min_by("start_sample", first).alias("start_sample"), F.sum("number_of_samples").alias("number_of_samples"), F.count("*").alias("blocks")

@@ -117,11 +117,11 @@ FROM (SELECT channel, lo, hi, (SELECT count(*) FROM range(0, 40) t(i) WHERE m <>
 
 @query("infer_precision", f"WITH {_L}, x AS (SELECT channel, pos, valid, disc AS l_discount, l_tax, value AS l_extendedprice, l_quantity FROM l) " + " UNION ALL ".join(map(_precision_sql, ("l_discount", "l_tax", "l_extendedprice", "l_quantity"))))
 def infer_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = None
-    for c in ("l_discount", "l_tax", "l_extendedprice", "l_quantity"):
-        part = ingest.infer_precision(sig.lines(spark, sf_dir, c)).select(F.lit(c).alias("source"), "channel", F.col("precision").cast("int").alias("precision"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    sources = ("l_discount", "l_tax", "l_extendedprice", "l_quantity")
+    rows = sig.lines(spark, sf_dir, *sources).unpivot(["channel", "pos"], list(sources), "source", "value")
+    rows = rows.select(F.concat_ws("/", "source", "channel").alias("channel"), "pos", "value")
+    part = F.split("channel", "/")
+    return ingest.infer_precision(rows).select(part[0].alias("source"), part[1].alias("channel"), F.col("precision").cast("int").alias("precision"))
 
 
 @query("gap_islands", f"WITH {_RUNS} SELECT channel, run_begin, run_end, n FROM r")
@@ -302,29 +302,34 @@ def scale_by_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.scaled(raw, factors).select("channel", "idx", "value")
 
 
-_D = f"{_L}, d AS (SELECT channel, pos, count, CAST(count AS BIGINT) - lag(count) OVER (PARTITION BY channel ORDER BY pos) AS delta FROM l WHERE valid)"
+_D = f"{_L}, d AS (SELECT channel, pos, count, CAST(count AS BIGINT) - lag(count) OVER (PARTITION BY channel, pos // 1024 ORDER BY pos) AS delta FROM l WHERE valid)"
+
+
+def _by_block(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The valid counts in blocks of 1024 positions, each a difference stream of its own."""
+    return sig.counts(spark, sf_dir).where("valid").select("channel", F.expr("pos div 1024").alias("block"), "pos", "count")
 
 
 @query("delta_encode", f"WITH {_D} SELECT channel, pos, delta, delta IS NULL OR abs(delta) > 127 AS keyed FROM d")
 def delta_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ingest.deltas(sig.counts(spark, sf_dir).where("valid"), ["channel"], "pos").select("channel", "pos", "delta", "keyed")
+    return ingest.deltas(_by_block(spark, sf_dir), ["channel", "block"], "pos").select("channel", "pos", "delta", "keyed")
 
 
 @query("delta_decode", f"WITH {_L} SELECT channel, pos, count FROM l WHERE valid")
 def delta_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = ingest.deltas(sig.counts(spark, sf_dir).where("valid"), ["channel"], "pos").withColumn("key", F.when(F.col("keyed"), F.col("count"))).drop("count")
-    return ingest.undelta(d, ["channel"], "pos").select("channel", "pos", "count")
+    d = ingest.deltas(_by_block(spark, sf_dir), ["channel", "block"], "pos").withColumn("key", F.when(F.col("keyed"), F.col("count"))).drop("count")
+    return ingest.undelta(d, ["channel", "block"], "pos").select("channel", "pos", "count")
 
 
 @query(
     "symbol_histogram",
-    f"""WITH {_D}, f AS (SELECT channel, pos, delta, unnest(CASE WHEN delta IS NULL THEN [0, 1, 2, 3] WHEN abs(delta) > 127 THEN [-1, 0, 1, 2, 3] ELSE [9] END) AS part, CAST(count AS BIGINT) & 4294967295 AS u FROM d),
-h AS (SELECT channel, CAST(CASE part WHEN -1 THEN 128 WHEN 9 THEN delta & 255 ELSE (u >> (8 * part)) & 255 END AS INTEGER) AS symbol, count(*) AS n FROM f GROUP BY ALL),
-k AS (SELECT *, max(n) OVER (PARTITION BY channel) AS most FROM h)
-SELECT channel, symbol, n, CAST(CASE WHEN most > 255 THEN ceil(n * (254.999999999::DOUBLE / most)) ELSE n END AS BIGINT) AS scaled FROM k""",
+    f"""WITH {_D}, f AS (SELECT channel, pos // 1024 AS block, pos, delta, unnest(CASE WHEN delta IS NULL THEN [0, 1, 2, 3] WHEN abs(delta) > 127 THEN [-1, 0, 1, 2, 3] ELSE [9] END) AS part, CAST(count AS BIGINT) & 4294967295 AS u FROM d),
+h AS (SELECT channel, block, CAST(CASE part WHEN -1 THEN 128 WHEN 9 THEN delta & 255 ELSE (u >> (8 * part)) & 255 END AS INTEGER) AS symbol, count(*) AS n FROM f GROUP BY ALL),
+k AS (SELECT *, max(n) OVER (PARTITION BY channel, block) AS most FROM h)
+SELECT channel, block, symbol, n, CAST(CASE WHEN most > 255 THEN ceil(n * (254.999999999::DOUBLE / most)) ELSE n END AS BIGINT) AS scaled FROM k""",
 )
 def symbol_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ingest.symbol_histogram(sig.counts(spark, sf_dir).where("valid").select("channel", "pos", "count"), ["channel"], "pos")
+    return ingest.symbol_histogram(_by_block(spark, sf_dir), ["channel", "block"], "pos")
 
 
 _RTO = 1_600_000_000_000_000
@@ -350,7 +355,7 @@ def masked_subject(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metadata.masked(_subjects(spark, sf_dir)).select("k", "section3_available", "subject_name_1", "recording_location", "gmt_offset")
 
 
-@query("metadata_defaults", f"WITH {_C} SELECT k, coalesce(nullif(session_description, ''), subject_name_1) AS session_description, coalesce(CASE WHEN low > 0 THEN low END, -1.0) AS low_frequency_filter, coalesce(CASE WHEN section3_available THEN gmt_offset END, -86401) AS gmt_offset FROM c")
+@query("metadata_defaults", f"WITH {_C} SELECT k, coalesce(nullif(session_description, ''), subject_name_1) AS session_description, coalesce(CASE WHEN low > 0 THEN low END, -1.0) AS low_frequency_filter, coalesce(CASE WHEN section3_available THEN gmt_offset END, 0) AS gmt_offset FROM c")
 def metadata_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = metadata.described(metadata.masked(_subjects(spark, sf_dir)).withColumns({"channel_description": F.lit(""), "low_frequency_filter": F.when(F.col("low") > 0, F.col("low"))}).withColumn("name", F.lit(None).cast("string")), "name", "name")
     c = c.drop("session_description").join(_subjects(spark, sf_dir).select("k", "session_description", F.col("subject_name_1").alias("who")), "k")
@@ -359,10 +364,16 @@ def metadata_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metadata.flattened(metadata.nested(c.withColumns(missing)).select("k", "acquisition", "subject")).select("k", "session_description", "low_frequency_filter", "gmt_offset")
 
 
-@query("legacy_property_names", "SELECT unnest(list_sort(['acquisition_channel_number', 'session_description', 'subject_id', 'subject_name_1'])) AS property")
+@query("legacy_property_names", "SELECT property, count(*) AS given FROM (SELECT unnest(['acquisition_channel_number', 'session_description', 'subject_id', 'subject_name_1']) AS property, unnest([c_nationkey IS NOT NULL, c_mktsegment <> 'BUILDING', c_custkey IS NOT NULL, c_acctbal > 0]) AS given FROM customer) WHERE given GROUP BY property")
 def legacy_property_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    older = sig.table(spark, sf_dir, "customer").select(F.col("c_name").alias("subject_name_1"), F.col("c_custkey").alias("subject_ID"), F.col("c_mktsegment").alias("session_description"), F.col("c_nationkey").alias("acquisition_channel_number"), F.col("c_acctbal").alias("unknown"))
-    return spark.createDataFrame([(n,) for n in metadata.property_names(metadata.renamed(older))], "property string")
+    """In how many rows each property of older names is given, under its current name."""
+    c = sig.table(spark, sf_dir, "customer")
+    older = c.select(
+        F.when(F.col("c_acctbal") > 0, F.col("c_name")).alias("subject_name_1"), F.col("c_custkey").cast("string").alias("subject_ID"), F.when(F.col("c_mktsegment") != "BUILDING", F.col("c_mktsegment")).alias("session_description"),
+        F.col("c_nationkey").cast("string").alias("acquisition_channel_number"), F.col("c_acctbal").alias("unknown"),
+    )
+    named = metadata.renamed(older)
+    return named.unpivot([], metadata.property_names(named), "property", "value").where("value is not null").groupBy("property").agg(F.count("*").alias("given"))
 
 
 @query("fingerprint_diff", "WITH a AS (SELECT p_partkey AS path, p_size AS size FROM part), b AS (SELECT p_partkey AS path, CASE WHEN p_partkey % 50 = 0 THEN p_size + 1 ELSE p_size END AS size FROM part WHERE p_partkey % 70 <> 0) SELECT *, 'left' AS side FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT *, 'right' AS side FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)")
@@ -488,9 +499,9 @@ def count_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("o_orderkey", fits.alias("fits"), tg.quantize(F.when(fits, F.col("o_totalprice")), 5).alias("count"))
 
 
-@query("aligned_channels", f"WITH {_GRID} SELECT idx, max(value) FILTER (channel = 'click') AS click, max(value) FILTER (channel = 'error') AS error, count(value) AS present FROM gr LEFT JOIN p USING (channel, idx) WHERE idx < 700 GROUP BY idx")
+@query("aligned_channels", f"WITH {_GRID} SELECT idx, max(value) FILTER (channel = 'click') AS click, max(value) FILTER (channel = 'error') AS error, count(value) AS present FROM gr LEFT JOIN p USING (channel, idx) GROUP BY idx")
 def aligned_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Channels side by side on their grids, a row per position."""
-    g = grid_read(spark, sf_dir).where("idx < 700")
+    g = grid_read(spark, sf_dir)
     pick = {c: F.max(F.when(F.col("channel") == c, F.col("value"))).alias(c) for c in ("click", "error")}
     return g.groupBy("idx").agg(*pick.values(), F.count("value").alias("present"))

@@ -22,13 +22,14 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("event_type").alias("channel"), micros("ts").alias("t"), "value", "event_id")
 
 
-def lines(spark: SparkSession, sf_dir: str, value: str = "l_extendedprice") -> DataFrame:
-    """channel = l_returnflag, dense positions, value; a gap where there is no discount."""
+def lines(spark: SparkSession, sf_dir: str, *values: str) -> DataFrame:
+    """channel = l_returnflag, dense positions, value (the price, or by name the columns in values); a gap where there is no discount."""
     keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"]
     pos = F.row_number().over(Window.partitionBy("l_returnflag").orderBy(*keys)) - 1
-    rows = table(spark, sf_dir, "lineitem").select("l_returnflag", *keys, "l_discount", *([value] if value not in (*keys, "l_discount") else []))
-    out = rows.select(F.col("l_returnflag").alias("channel"), pos.cast("long").alias("pos"), F.col(value).alias("value"), "l_orderkey", (F.col("l_discount") != 0).alias("valid"))
-    return out.withColumn("value", F.when(F.col("valid"), F.col("value")))
+    rows = table(spark, sf_dir, "lineitem").select("l_returnflag", *dict.fromkeys([*keys, "l_discount", *values]))
+    valid = F.col("l_discount") != 0
+    named = {v: v for v in values} or {"value": "l_extendedprice"}
+    return rows.select(F.col("l_returnflag").alias("channel"), pos.cast("long").alias("pos"), valid.alias("valid"), *(F.when(valid, F.col(c)).alias(n) for n, c in named.items()))
 
 
 def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
