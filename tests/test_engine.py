@@ -153,6 +153,31 @@ def test_data_source(spark, tmp_path):
     assert np.array_equal(raw["valid"], want["valid"] != 0) and np.array_equal(raw["count"].fillna(0).astype(int), want["samples"])
 
 
+def test_data_source_reads_no_index_on_the_driver(spark, tmp_path, monkeypatch):
+    from tidegrid.sources import datasource, native
+
+    path = str(tmp_path / "s.mefd")
+    Writer(path, block_length=64).write("a", signal(40_000), T0, FS, 2)
+    reader = datasource.SessionReader({"path": path, "mode": "blocks", "blocksPerTask": "100"})
+    monkeypatch.setattr(native.Session, "index", None)
+    monkeypatch.setattr(native.Session, "entries", None)
+    assert [(p.low, p.high) for p in reader.partitions()] == [(i, i + 100) for i in range(0, 625, 100)]
+
+
+def test_one_channel_is_many_tasks(spark):
+    """Small groups give the blocks, runs and overlaps that large ones do."""
+    from tidegrid.operators import read
+
+    rows = spark.range(4000).select(F.lit("a").alias("channel"), F.col("id").alias("pos"), (F.col("id") % 97).cast("int").alias("count"), (F.col("id") % 61 > 3).alias("valid"))
+    tiles = [ingest.tile(rows, T0, FS, 16, chunk=c).drop("samples") for c in (1 << 20, 100)]
+    small, large = (sorted(map(tuple, t.collect())) for t in tiles)
+    assert small == large and len(small) > 200
+    blocks = tiles[0].withColumn("segment", (F.col("block_no") >= 100).cast("int"))
+    assert sorted(map(tuple, read.runs(blocks).collect())) == sorted(map(tuple, read.runs(blocks, 7).collect()))
+    spans = spark.range(300).select(F.lit("a").alias("channel"), F.col("id"), (F.col("id") * 7).alias("b")).withColumn("e", F.col("b") + F.when(F.col("id") % 40 == 0, 100).otherwise(5))
+    assert sorted(read._reached(spans).collect()) == sorted(read._reached(spans, 50).collect())
+
+
 def test_checksum_and_cipher_columns(spark):
     df = spark.createDataFrame([(bytes(range(32)),), (None,)], "d binary")
     key = bytes(16)
@@ -171,4 +196,11 @@ def test_stream(spark, tmp_path):
         q = spark.readStream.schema(schema).parquet(str(source)).writeStream.foreachBatch(appender(store, FS, 1, lambda c, rows, e: late.append((c, rows.count())))).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
         q.awaitTermination()
     assert sorted(late) == [("a", 100), ("b", 100)]
-    assert {r.channel: r.n for r in catalog.channel_info(store.segments()).select("channel", F.col("number_of_samples").alias("n")).collect()} == {"a": 200, "b": 200}
+    # A batch that is tried again changes nothing; after a crash between the note and the append it is appended.
+    again = spark.createDataFrame([("c", T0 + i * 3_906_250 // 1000, float(i)) for i in range(50)], schema)
+    spark.createDataFrame([("s", 9, "c", 0)], "stream string, batch long, channel string, before long").write.mode("append").parquet(str(tmp_path / "st" / "batches"))
+    for _ in range(2):
+        appender(store, FS, 1, stream="s")(again, 9)
+    assert store.segments().where("channel = 'c'").first()["number_of_samples"] == 50
+    store = Store(spark, str(tmp_path / "st"))
+    assert {r.channel: r.n for r in catalog.channel_info(store.segments()).select("channel", F.col("number_of_samples").alias("n")).collect()} == {"a": 200, "b": 200, "c": 50}

@@ -7,6 +7,7 @@ import pytest
 
 import __spark_entry__ as entry
 from tidegrid.plans import queries as plans
+from tidegrid.plans import sessions  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 

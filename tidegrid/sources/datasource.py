@@ -3,8 +3,10 @@
     load(spark, path, "blocks")
 
 mode is channels, segments, toc, records or blocks. Only blocks reads and decodes
-samples: a task takes a byte range of some blocks. Filters on channel and time are
-pushed down, so blocks outside them are never read; Spark applies them once more.
+samples: a task takes a range of a segment's index, reads those entries only and
+decodes one byte range, as Arrow batches; the driver reads no index. Filters on
+channel and time are pushed down, to segments on the driver and to blocks in the
+tasks, so blocks outside them are never decoded; Spark applies them once more.
 """
 
 from __future__ import annotations
@@ -12,9 +14,11 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from tidegrid import model
@@ -30,7 +34,8 @@ _PER_TASK = 256  # blocks
 class Rows(InputPartition):
     channel: str | None
     segment: int | None = None
-    blocks: tuple[int, ...] = ()
+    low: int = 0  # numbers of index entries
+    high: int = 0
 
 
 class SessionDataSource(DataSource):
@@ -79,22 +84,18 @@ class SessionReader(DataSourceReader):
             return [Rows(c) for c in channels]
         out = []
         for c in channels:
-            by_segment: dict[int, list[int]] = {}
-            for r in session.toc(c):
-                if (self.low is None or r["end_uutc"] > self.low) and (self.high is None or r["start_uutc"] < self.high):
-                    by_segment.setdefault(r["segment"], []).append(r["block_no"])
-            for s, numbers in by_segment.items():
-                out += [Rows(c, s, tuple(numbers[i : i + self.per_task])) for i in range(0, len(numbers), self.per_task)]
+            for x in session.of(c):
+                if (self.low is None or x.end > self.low) and (self.high is None or x.start < self.high):
+                    n = int(x.technical["number_of_blocks"])
+                    out += [Rows(c, x.number, i, i + self.per_task) for i in range(0, n, self.per_task)]
         return out
 
     def read(self, part: Rows) -> Iterator[tuple] | Iterator[pa.RecordBatch]:
-        session = Session(self.path, self.password)
+        session = Session(self.path, self.password, part.channel)
         if self.mode == "blocks":
-            rows = {r["block_no"]: r for r in session.toc(part.channel) if r["segment"] == part.segment and r["block_no"] in set(part.blocks)}
-            segment = next(s for s in session.of(part.channel) if s.number == part.segment)
-            decoded = session.decode(segment, list(part.blocks))
-            found = [rows[n] | {"samples": b.samples.tolist()} for n, b in zip(part.blocks, decoded, strict=True)]
-        elif self.mode == "records":
+            yield from self._blocks(session, part)
+            return
+        if self.mode == "records":
             found = session.records(part.channel)
         else:
             found = {"channels": lambda: [session.info(part.channel)], "segments": lambda: session.segment_rows(part.channel), "toc": lambda: session.toc(part.channel)}[self.mode]()
@@ -102,6 +103,20 @@ class SessionReader(DataSourceReader):
         for r in found:
             yield tuple(r.get(n) for n in names)
 
+    def _blocks(self, session: Session, part: Rows) -> Iterator[pa.RecordBatch]:
+        segment = next(s for s in session.of(part.channel) if s.number == part.segment)
+        index = session.entries(segment, part.low, part.high)
+        rows = session.listed(segment, index, part.low)
+        rows = [r for r in rows if (self.low is None or r["end_uutc"] > self.low) and (self.high is None or r["start_uutc"] < self.high)]
+        if not rows:
+            return
+        blocks = session.decoded(segment, index[[r["block_no"] - part.low for r in rows]])
+        ends = np.cumsum([0, *(len(b.samples) for b in blocks)])
+        samples = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([b.samples for b in blocks]).astype(np.int32)))
+        schema = to_arrow_schema(model.BLOCKS)
+        columns = [samples.cast(f.type) if f.name == "samples" else pa.array([r.get(f.name) for r in rows], f.type) for f in schema]
+        yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
 
 def load(spark: SparkSession, path: str, mode: str, password: str = "") -> DataFrame:
     """A table of a session, with push-down switched on."""

@@ -92,11 +92,11 @@ class Store:
         before = self.blocks().where((F.col("channel") == channel) & (F.col("segment") == segment)).count() if last else 0
         blocks = blocks.withColumns({"session": F.lit(self.path.rsplit("/", 1)[-1]), "segment": F.lit(segment), "block_no": (F.col("block_no") + before).cast("int"), "number_of_samples": F.col("number_of_samples").cast("long")})
         blocks = blocks.select(*BLOCKS.names).sortWithinPartitions("channel", "start_uutc")
-        blocks.write.mode("append").partitionBy("channel").parquet(f"{self.path}/blocks")
-        written = self.blocks().where((F.col("channel") == channel) & (F.col("segment") == segment) & (F.col("block_no") >= before))
-        if known is None:
+        if known is None:  # before the blocks, so that none is ever without its channel
             row = {"session": self.path.rsplit("/", 1)[-1], "name": channel, "sampling_frequency": float(fs), "units_conversion_factor": ufact, "units_description": units, "recording_time_offset": 0, "section3_available": True} | (attributes or {})
             self.spark.createDataFrame([tuple(row.get(n) for n in CHANNELS.names)], CHANNELS).write.mode("append").parquet(f"{self.path}/channels")
+        blocks.write.mode("append").partitionBy("channel").parquet(f"{self.path}/blocks")
+        written = self.blocks().where((F.col("channel") == channel) & (F.col("segment") == segment) & (F.col("block_no") >= before))
         return ingest.write_summary(written, segment)
 
     def write_records(self, rows: DataFrame, channel: str | None = None) -> None:
