@@ -2,7 +2,10 @@
 
 Every stage is written as Parquet in the shared folder and reread, so a lost
 executor costs one stage's tasks at most. Rows with a null doc_id pass the
-filters as other rows do; an empty table passes through as an empty table.
+filters as other rows do; rows that repeat a doc_id are each judged by their own
+text, but near-dedup and mixing take all rows of a doc_id out if they take one out;
+very long texts are handled whole; an empty table passes through as an
+empty table; columns beyond those of documents pass through to the last stage.
 """
 
 from __future__ import annotations
@@ -37,11 +40,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A share of MIX_PERCENT of all tokens, by weights; each document once at most, those that the budget's end would cut not at all."""
+    """A share of MIX_PERCENT of all tokens, by weights; each document once at most. The one that a leaf's budget ends in stays whole, so a leaf's long first document never empties it."""
     weighed = settle(mixing.weigh(docs, queries.source_domain()), "weighed")
     mixed = mixing.mix(weighed, percent=MIX_PERCENT, max_epochs=1, weights=queries.MIX_WEIGHTS)
     # Documents without tokens use no budget and stay.
-    gone = mixed.where("copies = 0 and n_tokens > 0 and doc_id is not null").select("doc_id").distinct()
+    gone = mixed.where("copies = 0 and cut_tokens = 0 and n_tokens > 0 and doc_id is not null").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
