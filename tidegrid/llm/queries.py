@@ -146,10 +146,10 @@ l AS (SELECT conv_id, turn, role, i, raw[i] AS line, length(replace(replace(rege
 k AS (SELECT *, level = 0 AND regexp_matches(lower(line), '^[ \t]*(?:on|am|le|el) .{1,200}(?:wrote|schrieb|écrit|escribió)[ \t]*:[ \t]*$') AND regexp_matches(ahead, '^[ \t]*>') AS attribution,
         trim(regexp_replace(lower(regexp_replace(line, '^((?:[ \t]*>)*)', '')), '[ \t]+', ' ', 'g')) AS key FROM l),
 t AS (SELECT conv_id, turn, role, any_value(said) AS said FROM (SELECT conv_id, turn, role, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (level = 0 AND NOT attribution), '') AS said FROM k GROUP BY ALL) GROUP BY ALL),
-q AS (SELECT conv_id, turn, key, count(*) AS n FROM k WHERE level = 1 AND key <> '' GROUP BY ALL),
+q AS (SELECT conv_id, turn, level, key, count(*) AS n FROM k WHERE level > 0 AND key <> '' GROUP BY ALL),
 s AS (SELECT DISTINCT conv_id, turn, key FROM k WHERE level = 0 AND key <> '' AND NOT attribution),
-v AS (SELECT q.conv_id, q.turn, q.key, any_value(q.n) AS n, max(s.turn) AS parent FROM q JOIN s ON q.conv_id = s.conv_id AND q.key = s.key AND s.turn < q.turn GROUP BY ALL),
-p AS (SELECT conv_id, turn, max({'n': n, 'parent': parent}).parent AS parent FROM (SELECT conv_id, turn, parent, sum(n) AS n FROM v GROUP BY ALL) GROUP BY ALL),
+v AS (SELECT q.conv_id, q.turn, q.level, q.key, any_value(q.n) AS n, max(s.turn) AS parent FROM q JOIN s ON q.conv_id = s.conv_id AND q.key = s.key AND s.turn < q.turn GROUP BY ALL),
+p AS (SELECT conv_id, turn, max({'l': -level, 'n': n, 'parent': parent}).parent AS parent FROM (SELECT conv_id, turn, level, parent, sum(n) AS n FROM v GROUP BY ALL) GROUP BY ALL),
 r AS (SELECT conv_id, turn, parent AS root, 1 AS depth FROM p UNION ALL SELECT r.conv_id, r.turn, p.parent, depth + 1 FROM r JOIN p ON r.conv_id = p.conv_id AND r.root = p.turn),
 z AS (SELECT conv_id, turn, min(root) AS root, max(depth) AS depth FROM r GROUP BY ALL)
 SELECT t.conv_id, coalesce(z.root, t.turn) AS root, t.turn, t.role, p.parent, CAST(coalesce(z.depth, 0) AS BIGINT) AS depth, t.said

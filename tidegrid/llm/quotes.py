@@ -5,13 +5,16 @@ Quoted lines are normalised (markers off, blanks collapsed, lower case) and hash
 and so are the lines each message says itself. Each quoted line is joined to the
 latest earlier message of its conversation that says it: both sides are ordered
 by turn within (conversation, hash) and the last sayer is carried forward, so no
-pairs are built. A message replies to the message most of its level-1 lines come
-from, the later one on ties. Threads' roots and depths follow by pointer doubling.
+pairs are built. A message replies to the message most of its lines of the lowest
+level that has an original come from, the later one on ties; deeper levels decide
+only where all that is quoted less deep was said by nobody. Threads' roots and depths follow by pointer doubling.
 
 Edge cases: rows with a null conversation or turn are returned with no parent,
 as their own root; null texts are empty; rows that repeat (conv_id, turn) share
 parent, root and depth; blank quoted lines link nothing; "... wrote:" lines right
-before a quote go with it; an empty table gives an empty result; other columns
+before a quote go with it; texts and marks of any length are handled whole, as no
+pattern repeats a group without a bound; columns named root, parent, depth or said
+are not read; an empty table gives an empty result; other columns
 are ignored.
 """
 
@@ -54,13 +57,13 @@ def parents(parsed: DataFrame) -> DataFrame:
     """conv_id, turn, parent (turn), for the messages that quote an earlier one."""
     lines = parsed.where("conv_id is not null and turn is not null").select("conv_id", "turn", F.explode("lines").alias("x"))
     lines = lines.select("conv_id", "turn", "x.level", "x.key").where("key is not null")
-    quoted = lines.where("level = 1").groupBy("conv_id", "key", "turn").agg(F.count("*").alias("n"))
+    quoted = lines.where("level > 0").groupBy("conv_id", "key", "turn", "level").agg(F.count("*").alias("n"))
     said = lines.where("level = 0").join(quoted.select("conv_id", "key").distinct(), ["conv_id", "key"], "left_semi").select("conv_id", "key", "turn").distinct()
-    both = quoted.withColumn("sayer", F.lit(None).cast("long")).unionByName(said.withColumn("n", F.lit(0).cast("long")).withColumn("sayer", F.col("turn")))
+    both = quoted.withColumn("sayer", F.lit(None).cast("long")).unionByName(said.withColumns({"n": F.lit(0).cast("long"), "level": F.lit(0), "sayer": F.col("turn")}))
     earlier = Window.partitionBy("conv_id", "key").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
     votes = both.withColumn("parent", F.max("sayer").over(earlier)).where("n > 0 and parent is not null")
-    votes = votes.groupBy("conv_id", "turn", "parent").agg(F.sum("n").alias("n"))
-    return votes.groupBy("conv_id", "turn").agg(F.max(F.struct("n", "parent")).alias("best")).select("conv_id", "turn", F.col("best.parent").alias("parent"))
+    votes = votes.groupBy("conv_id", "turn", "level", "parent").agg(F.sum("n").alias("n"))
+    return votes.groupBy("conv_id", "turn").agg(F.max(F.struct(-F.col("level"), "n", "parent")).alias("best")).select("conv_id", "turn", F.col("best.parent").alias("parent"))
 
 
 def threads(links: DataFrame) -> DataFrame:
