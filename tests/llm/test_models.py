@@ -139,6 +139,36 @@ def test_mixing(spark, percent, epochs):
         mixing.mix(weighed, weights={"lang": {"en": 0}})
 
 
+def test_descent_by_hand():
+    """The same steps in plain loops: risk, its non-negative correction, and Adam with a soft threshold."""
+    import math
+
+    rng = random.Random(6)
+    rows, n_pos, prior, shrink, rate, size = [sorted(rng.sample(range(6), rng.randint(1, 4))) for _ in range(14)], 5, 0.45, 0.002, 0.1, 6
+    w, m, v, turned = [math.log(prior / (1 - prior))] + [0.0] * size, [0.0] * (size + 1), [0.0] * (size + 1), 0
+    for t in range(1, 61):
+        f = [w[0] + sum(w[1 + c] for c in r) for r in rows]
+        sigmoid = [1 / (1 + math.exp(-x)) for x in f]
+        minus = [math.log1p(math.exp(x)) for x in f]  # the loss of calling a row negative
+        rest = sum(minus[n_pos:]) / (len(rows) - n_pos) - prior * sum(minus[:n_pos]) / n_pos
+        turned += rest < 0
+        g = [0.0] * (size + 1)
+        for i, r in enumerate(rows):
+            negative = -prior * sigmoid[i] / n_pos if i < n_pos else sigmoid[i] / (len(rows) - n_pos)
+            slope = -negative if rest < 0 else negative - (prior * (1 - sigmoid[i]) / n_pos if i < n_pos else 0)
+            for c in [0, *(1 + c for c in r)]:
+                g[c] += slope
+        for c in range(size + 1):
+            m[c], v[c] = 0.9 * m[c] + 0.1 * g[c], 0.999 * v[c] + 0.001 * g[c] ** 2
+            pace = rate / (math.sqrt(v[c] / (1 - 0.999**t)) + 1e-4)
+            w[c] -= pace * m[c] / (1 - 0.9**t)
+            if c:
+                w[c] = math.copysign(max(0.0, abs(w[c]) - pace * shrink), w[c])
+    of, column = (np.array(x) for x in zip(*((i, c) for i, r in enumerate(rows) for c in r), strict=True))
+    got, bias = toxicity._descend(of, column, len(rows), n_pos, prior, shrink, 60, rate)
+    assert np.allclose(got, w[1:]) and np.isclose(bias, w[0]) and turned
+
+
 # --- pseudonyms --------------------------------------------------------------
 
 

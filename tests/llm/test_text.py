@@ -362,3 +362,45 @@ def test_sql(spark, sf_dir, name):
     got, want = queries.QUERIES[name](spark, sf_dir).toArrow(), con.execute(queries.ORACLE_SQL[name]).to_arrow_table()
     rows = lambda t: sorted(zip(*(map(str, t[c].to_pylist()) for c in sorted(t.column_names))))
     assert sorted(got.column_names) == sorted(want.column_names) and rows(got) == rows(want)
+
+
+# --- winnowing by hand ---------------------------------------------------------
+
+
+def long_hash(x, seed):
+    import struct
+
+    import xxhash
+
+    return struct.unpack("<q", struct.pack("<Q", xxhash.xxh64_intdigest(x if isinstance(x, bytes) else struct.pack("<q", x), seed & (1 << 64) - 1)))[0]
+
+
+def prints_by_hand(text, k=4, window=8):
+    """(hash, position) of the smallest hash of each window of k-grams, the rightmost on ties; texts of k words at least."""
+    import regex
+
+    words = [long_hash(w.encode(), 42) for w in regex.findall(r"[\p{L}\p{N}]+", text.lower())]
+    both = lambda a, b: long_hash(b, long_hash(a, 42))
+    grams = [both(both(words[i], words[i + 1]), both(words[i + 2], words[i + 3])) & 0xFFFFFFFF for i in range(len(words) - k + 1)]
+    chosen = []
+    for b in range(max(1, len(grams) - window + 1)):
+        least = min(grams[b : b + window])
+        at = max(i for i in range(b, min(b + window, len(grams))) if grams[i] == least)
+        if (least, at) not in chosen:
+            chosen.append((least, at))
+    return chosen
+
+
+def test_fingerprints_by_hand(spark, tmp_path):
+    rng = random.Random(31)
+    rows = [(i * 2, prose(rng, rng.choice((9, 10, 11, 12, 40, 300)), rng.choice((3, 400)))) for i in range(60)] + [(500, "same words " * 50), (501, "Same, WORDS! " * 50)]
+    got = {r.doc_id: r for r in queries.op9_winnow(spark, written(spark, rows, tmp_path)).collect()}
+    shown = lambda f: " ".join(f"{h:X}:{i}" for h, i in f)
+    for at, (i, text) in enumerate(rows):
+        following = rows[(at + 1) % len(rows)][1]
+        cut = len(text) // 4
+        edited = text[: len(text) - cut] + following[:cut]
+        own, other, ahead = prints_by_hand(text), prints_by_hand(edited), prints_by_hand(following)
+        assert got[i].fingerprint == shown(own) and got[i].edited_fingerprint == shown(other)
+        a, b, c = ({h for h, _ in f} for f in (own, other, ahead))
+        assert got[i].near_edited == len(a & b) / len(a | b) and got[i].near_next == len(a & c) / len(a | c)
