@@ -299,3 +299,45 @@ def test_legacy_shapes(tmp_path, capsys):
     assert w.get_mefblock_len(FS) == 64 and LegacyWriter(tmp_path / "t.mefd").get_mefblock_len(5000.0) == 5000
     (tmp_path / "s.mefd" / "s.rdat").write_bytes(b"short")
     assert LegacyReader(tmp_path / "s.mefd").get_annotations() is None and "WARNING" in capsys.readouterr().out
+
+
+#: Shapes of published sessions: rate, gap, span in microseconds, grid length, factor, precision, further segment, passwords.
+SHAPES = {
+    "plain": (256.0, None, 7_812_500, 2000, 0.001, 3, False, ("", "")),
+    "long gap": (256.0, (800, 1400), 7_812_500, 2000, 0.001, 3, False, ("", "")),
+    # Published with 7,812,500, by a writer that stores short gaps inside a block; a real gap rounds its second run's start and length apart.
+    "short gap": (256.0, (1000, 1010), 7_812_501, 2000, 0.001, 3, False, ("", "")),
+    "two segments": (256.0, None, 16_625_000, 4256, 0.001, 3, True, ("", "")),
+    "coarse": (256.0, None, 7_812_500, 2000, 0.01, 2, False, ("", "")),
+    "locked": (256.0, None, 7_812_500, 2000, 0.001, 3, False, ("pass1", "pass2")),
+    "fractional rate": (512.5, None, 3_902_439, 2000, 0.001, 3, False, ("", "")),
+}
+
+
+@pytest.mark.parametrize("shape", SHAPES)
+def test_published_shapes(tmp_path, shape):
+    fs, gap, length, n, factor, precision, further, passwords = SHAPES[shape]
+    i = np.arange(2000)
+    x = 50 * np.sin(2 * np.pi * i / 137) + 15 * np.sin(2 * np.pi * i / 31) + np.random.default_rng(20260702).normal(0, 2.5, 2000)
+    if gap:
+        x[gap[0] : gap[1]] = np.nan
+    w = Writer(tmp_path / "s.mefd", password1=passwords[0], password2=passwords[1])
+    w.write("ch1", x, T0, fs, precision=precision)
+    if further:
+        w.write("ch1", x, T0 + 7_812_500 + 1_000_000, fs, precision=precision, new_segment=True)
+    w.write_annotations([{"time": T0 + 100_000, "text": "onset"}, {"time": T0 + 500_000, "text": "offset"}])
+    r = Reader(tmp_path / "s.mefd", passwords[1])
+    info, got = r.info("ch1"), r.read("ch1")
+    assert (info["start_time"], info["end_time"] - info["start_time"], info["sampling_frequency"]) == (T0, length, fs)
+    assert len(got) == n and np.isclose(info["units_conversion_factor"], factor, rtol=1e-12)
+    assert np.allclose(got[:2000], x, atol=factor * 0.51, equal_nan=True) and np.isnan(got[2000:2256]).all()
+    assert len(r.segments("ch1")) == 1 + further and [(a["time"] - T0, a["text"]) for a in r.records()] == [(100_000, "onset"), (500_000, "offset")]
+    if further:
+        assert np.allclose(got[2256:], x, atol=factor * 0.51)
+
+
+def test_backends(tmp_path):
+    Writer(tmp_path / "s.mefd").write("c", wave(10), T0, FS)
+    assert len(Reader(tmp_path / "s.mefd", "", "cpp").read("c")) == 10
+    with pytest.raises(ValueError):
+        Reader(tmp_path / "s.mefd", backend="other")
