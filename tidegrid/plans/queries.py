@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -39,6 +41,14 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def _stored(df: DataFrame) -> DataFrame:
+    """df written once in the shared folder and read back, as a store's blocks are."""
+    spark = df.sparkSession
+    path = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='tidegrid-')}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def _grid_window(samples: DataFrame) -> DataFrame:
     """Each channel's window from its first sample to one microsecond past its last, an hour a position."""
     return samples.groupBy("channel").agg(F.min("t").alias("t0"), (F.max("t") + 1).alias("t1")).withColumn("fs", F.lit(sig.HOUR_FS))
@@ -74,7 +84,7 @@ def grid_read_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("read_raw_mask", f"WITH {_L} SELECT channel, pos AS idx, count, valid FROM l WHERE pos < (SELECT max(pos) + 1 FROM l m WHERE m.channel = l.channel AND valid) AND pos BETWEEN 100 AND 1099")
 def read_raw_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blocks = ingest.tile(sig.counts(spark, sf_dir), sig.START, sig.FS, sig.BLOCK).withColumn("segment", F.lit(0))
+    blocks = _stored(ingest.tile(sig.counts(spark, sf_dir), sig.START, sig.FS, sig.BLOCK).withColumn("segment", F.lit(0)))
     t0, t1 = (sig.START + round(p / sig.FS * 1e6) for p in (100, 1100))
     raw = read.read_raw(blocks, t0, t1, sig.FS)
     return raw.select("channel", (F.col("idx") + 100).alias("idx"), "count", "valid")
