@@ -204,3 +204,15 @@ def test_stream(spark, tmp_path):
     assert store.segments().where("channel = 'c'").first()["number_of_samples"] == 50
     store = Store(spark, str(tmp_path / "st"))
     assert {r.channel: r.n for r in catalog.channel_info(store.segments()).select("channel", F.col("number_of_samples").alias("n")).collect()} == {"a": 200, "b": 200, "c": 50}
+
+
+def test_signals_number_lines_alike_in_any_ranges(spark, sf_dir, monkeypatch):
+    from tidegrid.plans import signals
+
+    read = lambda: sorted(map(tuple, signals.lines(spark, sf_dir, "l_quantity").collect()), key=str)
+    whole = read()
+    monkeypatch.setattr(signals, "_ORDERS", 37)
+    assert read() == whole
+    for channel in {r[0] for r in whole}:
+        places = sorted(r[1] for r in whole if r[0] == channel)
+        assert places == list(range(len(places)))
