@@ -353,6 +353,8 @@ def test_quotes(spark):
         (1, 0, "user", "Hello there\nHow are you?"), (1, 1, "bot", "On Monday, A wrote:\n> hello   THERE\n> how are you?\nFine"), (1, 2, "user", ">> Hello there\n> Fine\nGood"), (1, 3, "x", "> Fine\n> Good\n> Hello there\nMixed"),
         (1, 4, "x", "> nobody said this\nAlone"), (1, 5, "x", "> later words\nEarly"), (1, 6, "x", "later words"), (2, 0, "x", "> Hello there\nOther room"), (2, 1, None, None), (2, 2, "x", "> \n>\nBlank"), (None, 1, "x", "> a\nb"), (3, None, "x", "c"), (3, 1, "x", ""),
         (4, 0, "x", "say"), (4, 0, "y", "say too"), (4, 1, "x", "> say\nreply"),
+        (6, 0, "x", "One fine line\nand the next\n\nLast part"), (6, 1, "y", "yes\nthanks\nsee you\nbye"), (6, 2, "x", "> thanks\n> yes\n> bye\n\n> one fine line\n> AND the next\nPassages before lines"), (6, 3, "y", "> and the next\n> thanks\n> bye\nCut"),
+        (6, 4, "y", "> one fine line\n> and the next\n>\n> last part\n>> yes\nBoth"),
         (5, 0, "x", "deep words"), (5, 1, "y", "other"), (5, 2, "x", "> On Tue, A wrote:\n>> deep words\n>>> other\nok"),
     ]
     df = spark.createDataFrame([(*r, 1, "p") for r in rows], "conv_id long, turn long, role string, text string, depth int, parent string")
@@ -362,13 +364,19 @@ def test_quotes(spark):
     assert got[2, 1, None] == (None, 1, 0, "") and got[2, 2, "x"] == (None, 2, 0, "Blank") and got[None, 1, "x"] == (None, 1, 0, "b") and got[3, None, "x"] == (None, None, 0, "c")
     assert got[4, 1, "x"] == (0, 0, 1, "reply") and len(got) == len(rows)
     assert got[5, 2, "x"] == (0, 0, 1, "ok")
+    assert got[6, 2, "x"] == (0, 0, 1, "\nPassages before lines") and got[6, 3, "y"] == (1, 1, 1, "Cut") and got[6, 4, "y"] == (0, 0, 1, "Both")
+    found = quotes.link(df).collect()
+    place = {(r.conv_id, r.turn, r.role): r.position for r in found}
+    assert [place[6, t, r] for t, r in ((0, "x"), (1, "y"), (2, "x"), (3, "y"), (4, "y"))] == [0, 0, 1, 1, 2] and place[None, 1, "x"] == place[3, None, "x"] == 0
+    passages = {(r.conv_id, r.turn): [(p.level, p.n) for p in r.passages] for r in quotes.parse(df).where("conv_id = 6").collect()}
+    assert passages[6, 0] == [(0, 2), (0, 1)] and passages[6, 2] == [(1, 3), (1, 2), (0, 1)] and passages[6, 4] == [(1, 2), (1, 1), (2, 1), (0, 1)]
     import duckdb
 
     con, plain = duckdb.connect(), [r for r in rows if r[0] is not None and r[1] is not None and r[0] != 4]
     con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
     con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", plain)
-    for conv_id, root, turn, role, parent, depth, said in con.execute(f"SELECT conv_id, root, turn, role, parent, depth, said FROM ({queries.ORACLE_SQL['op8_quotes']})").fetchall():
-        assert got[conv_id, turn, role] == (parent, root, depth, said)
+    for conv_id, root, turn, role, parent, depth, position, said in con.execute(f"SELECT conv_id, root, turn, role, parent, depth, position, said FROM ({queries.ORACLE_SQL['op8_quotes']})").fetchall():
+        assert (*got[conv_id, turn, role], place[conv_id, turn, role]) == (parent, root, depth, said, position)
     chain = spark.createDataFrame([(9, i, "u", f"> word {i - 1}\nword {i}" if i else "word 0") for i in range(40)], "conv_id long, turn long, role string, text string")
     assert [(r.root, r.depth) for r in quotes.link(chain).orderBy("turn").collect()] == [(0, i) for i in range(40)]
     assert quotes.link(df.limit(0)).count() == 0

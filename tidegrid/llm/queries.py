@@ -140,19 +140,24 @@ def op8_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL_OP8 = r"""
-WITH RECURSIVE m AS (SELECT conv_id, turn, role, string_split(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(10)) AS raw FROM conversations),
-l AS (SELECT conv_id, turn, role, i, raw[i] AS line, length(replace(replace(regexp_extract(raw[i], '^((?:[ \t]*>)*)', 1), ' ', ''), chr(9), '')) AS level,
+WITH RECURSIVE m AS (SELECT row_number() OVER () AS id, conv_id, turn, role, string_split(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(10)) AS raw FROM conversations),
+l AS (SELECT id, conv_id, turn, role, i, raw[i] AS line, length(replace(replace(regexp_extract(raw[i], '^((?:[ \t]*>)*)', 1), ' ', ''), chr(9), '')) AS level,
         coalesce(raw[i + 1], '') AS ahead FROM (SELECT *, unnest(range(1, len(raw) + 1)) AS i FROM m)),
 k AS (SELECT *, level = 0 AND regexp_matches(lower(line), '^[ \t]*(?:on|am|le|el) .{1,200}(?:wrote|schrieb|écrit|escribió)[ \t]*:[ \t]*$') AND regexp_matches(ahead, '^[ \t]*>') AS attribution,
         trim(regexp_replace(lower(regexp_replace(line, '^((?:[ \t]*>)*)', '')), '[ \t]+', ' ', 'g')) AS key FROM l),
-t AS (SELECT conv_id, turn, role, any_value(said) AS said FROM (SELECT conv_id, turn, role, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (level = 0 AND NOT attribution), '') AS said FROM k GROUP BY ALL) GROUP BY ALL),
-q AS (SELECT conv_id, turn, level, key, count(*) AS n FROM k WHERE level > 0 AND key <> '' GROUP BY ALL),
-s AS (SELECT DISTINCT conv_id, turn, key FROM k WHERE level = 0 AND key <> '' AND NOT attribution),
-v AS (SELECT q.conv_id, q.turn, q.level, q.key, any_value(q.n) AS n, max(s.turn) AS parent FROM q JOIN s ON q.conv_id = s.conv_id AND q.key = s.key AND s.turn < q.turn GROUP BY ALL),
-p AS (SELECT conv_id, turn, max({'l': -level, 'n': n, 'parent': parent}).parent AS parent FROM (SELECT conv_id, turn, level, parent, sum(n) AS n FROM v GROUP BY ALL) GROUP BY ALL),
+t AS (SELECT conv_id, turn, role, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (level = 0 AND NOT attribution), '') AS said FROM k GROUP BY id, conv_id, turn, role),
+g AS (SELECT *, i - row_number() OVER (PARTITION BY id, level ORDER BY i) AS run FROM k WHERE key <> '' AND NOT attribution),
+u AS (SELECT conv_id, turn, level, FALSE AS whole, key, 1 AS n FROM g
+      UNION ALL SELECT conv_id, turn, level, TRUE, string_agg(key, chr(10) ORDER BY i), count(*) FROM g GROUP BY id, conv_id, turn, level, run),
+q AS (SELECT conv_id, turn, level, whole, key, sum(n) AS n FROM u WHERE level > 0 GROUP BY ALL),
+s AS (SELECT DISTINCT conv_id, turn, whole, key FROM u WHERE level = 0),
+v AS (SELECT q.conv_id, q.turn, q.level, q.whole, q.key, any_value(q.n) AS n, max(s.turn) AS parent FROM q JOIN s ON q.conv_id = s.conv_id AND q.whole = s.whole AND q.key = s.key AND s.turn < q.turn GROUP BY ALL),
+p AS (SELECT conv_id, turn, max({'l': -level, 'w': w, 'n': n, 'parent': parent}).parent AS parent
+      FROM (SELECT conv_id, turn, level, parent, sum(CASE WHEN whole THEN n ELSE 0 END) AS w, sum(CASE WHEN whole THEN 0 ELSE n END) AS n FROM v GROUP BY ALL) GROUP BY ALL),
 r AS (SELECT conv_id, turn, parent AS root, 1 AS depth FROM p UNION ALL SELECT r.conv_id, r.turn, p.parent, depth + 1 FROM r JOIN p ON r.conv_id = p.conv_id AND r.root = p.turn),
 z AS (SELECT conv_id, turn, min(root) AS root, max(depth) AS depth FROM r GROUP BY ALL)
-SELECT t.conv_id, coalesce(z.root, t.turn) AS root, t.turn, t.role, p.parent, CAST(coalesce(z.depth, 0) AS BIGINT) AS depth, t.said
+SELECT t.conv_id, coalesce(z.root, t.turn) AS root, t.turn, t.role, p.parent, CAST(coalesce(z.depth, 0) AS BIGINT) AS depth,
+  CASE WHEN t.conv_id IS NULL OR t.turn IS NULL THEN 0 ELSE dense_rank() OVER (PARTITION BY t.conv_id, coalesce(z.root, t.turn) ORDER BY t.turn) - 1 END AS position, t.said
 FROM t LEFT JOIN p USING (conv_id, turn) LEFT JOIN z USING (conv_id, turn)
 """
 
