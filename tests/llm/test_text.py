@@ -1,10 +1,13 @@
 """Line dedup, MinHash, BPE, winnowing and licences against brute force, with awkward rows."""
 
 import hashlib
+import json
 import os
 import random
 import re
+import textwrap
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -334,6 +337,16 @@ def test_winnow_awkward_ids(spark, tmp_path):
     assert queries.op9_winnow(spark, written(spark, [], tmp_path / "b")).count() == 0
 
 
+def test_bpe_refuses_other_kinds_of_files(tmp_path):
+    with open(queries.vocabulary(), encoding="utf-8") as f:
+        spec = json.load(f)
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"decoder": None}, {"model": spec["model"] | {"ignore_merges": True}}, {"model": spec["model"] | {"byte_fallback": True}}):
+        path = tmp_path / "other.json"
+        path.write_text(json.dumps(spec | change), encoding="utf-8")
+        with pytest.raises(ValueError, match="asks for"):
+            bpe.Codec(str(path))
+
+
 # --- licences ----------------------------------------------------------------
 
 
@@ -347,6 +360,18 @@ def test_licenses(spark):
     got = {(r.doc_id, r.license, r.notices) for r in licenses.scan(docs_of(spark, rows)).collect()}  # the third is one line, so a notice too
     assert got == {*((i, "MIT", "MIT" if i == 2 else "") for i in range(5)), (10, None, ""), (11, None, "Apache-2.0,MIT"), (12, None, ""), (13, None, ""), (14, None, ""), (None, "MIT", "")}
     assert licenses.scan(docs_of(spark, [])).count() == 0
+    # Every licence of the registry, wrapped at several widths, under any title or none, and with British spellings.
+    spelt = [(name, re.sub(r"\blicense", "licence", text.replace("organization", "organisation"))) for name, text in licenses.REGISTRY]
+    known = [(i * 10 + j, name, "\n\n".join(textwrap.fill(x, width, break_on_hyphens=False) for x in text.split("\n\n"))) for i, (name, text) in enumerate(spelt) for j, width in enumerate((41, 60, 70, 78))]
+    assert any(re.search(r"(?mi)^copyright (?:notice|holder)", text) for *_, text in known)
+    got = {r.doc_id: r.license for r in licenses.scan(docs_of(spark, [(i, text) for i, _, text in known])).collect()}
+    assert got == {i: name for i, name, _ in known}
+    sql = f"SELECT doc_id, license, notices FROM ({queries.ORACLE_SQL['op2_license_scan']})"
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", [(i, text) for i, _, text in known])
+    assert {r[0]: r[1] for r in con.execute(sql).fetchall()} == got
+    assert {name for name, *_ in licenses._FULL} >= {"MIT", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "Unlicense"}
     one = licenses.scan(docs_of(spark, [(1, "Be kind.")]), [("B", "be KIND"), ("A", "be, kind!")]).first()
     assert one.license == "A"
 

@@ -43,12 +43,27 @@ def _byte_of_char() -> dict[str, int]:
     return {chr(b if b in plain else next(rest)): b for b in range(256)}
 
 
+def _check(spec: dict) -> None:
+    """Raises where a file asks for steps that are not done here, rather than give other ids."""
+    model, first, last = spec["model"], spec.get("pre_tokenizer") or {}, spec.get("decoder") or {}
+    asked = {
+        "a model other than BPE": model.get("type", "BPE") != "BPE",
+        "a normalizer": spec.get("normalizer") is not None,
+        "another pre-tokenizer": first.get("type") != "ByteLevel" or first.get("add_prefix_space") or not first.get("use_regex", True),
+        "another decoder": last.get("type") != "ByteLevel",
+        "stripping or whole-word added tokens": any(t.get(k) for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip")),
+    } | {k: bool(model.get(k)) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")}
+    if wrong := [k for k, v in asked.items() if v]:
+        raise ValueError(f"this vocabulary asks for {', '.join(wrong)}")
+
+
 class Codec:
-    """Encoder and decoder of one vocabulary file."""
+    """Encoder and decoder of one file of byte-level BPE; a file of another kind raises."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        _check(spec)
         at = _byte_of_char()
         vocab = spec["model"]["vocab"]
         raw = {i: bytes(at[c] for c in s) for s, i in vocab.items()}

@@ -25,7 +25,8 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _canonical_sql(text: str) -> str:
     """licenses.canonical_lines() for DuckDB."""
-    out = rf"regexp_replace(lower({text}), '(?m)^[^\p{{L}}\p{{N}}\n]*(?:copyright[ \t]|\(c\)|©|all rights reserved)[^\n]*$', '', 'g')"
+    prose = rf"regexp_replace(lower({text}), '(?m)^([^\p{{L}}\p{{N}}\n]*copyright)([ \t](?:{licenses.PROSE}))', '\1-\2', 'g')"  # there is no look-ahead
+    out = rf"regexp_replace({prose}, '(?m)^[^\p{{L}}\p{{N}}\n]*(?:copyright[ \t]|\(c\)|©|all rights reserved)[^\n]*$', '', 'g')"
     out = rf"' ' || replace(regexp_replace({out}, '[^\p{{L}}\p{{N}}\n]+', ' ', 'g'), chr(10), ' ' || chr(10) || ' ') || ' '"
     for best, *others in licenses.SPELLINGS:  # twice for neighbours, as there is no look-ahead
         for _ in range(2):
