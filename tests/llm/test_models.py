@@ -1,5 +1,6 @@
 """Toxicity, mixing, pseudonyms, vectors, quotations and the pipeline against brute force, with awkward rows."""
 
+import datetime
 import hashlib
 import random
 import re
@@ -55,6 +56,31 @@ def test_held_out_labels_are_not_read(spark):
     assert a.bias == b.bias and (a.weights == b.weights).all()
 
 
+def test_toxicity_learns_from_texts_without_labels(spark):
+    """Unjudged texts shape the model, held-out ones do not; a repeated row counts once."""
+    rows, labels, _ = toxic_tables(400)
+    judged, said = {i for i, _ in labels}, spark.createDataFrame(labels, "doc_id long, toxic int")
+    fit = lambda r: toxicity.fit(docs_of(spark, r), said)
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    model = fit(rows)
+    same = [fit([(i, "quite different" if held(i) else t) for i, t in rows]), fit([*rows, *[rows[1]] * 300, (None, "x")])]
+    assert all(m.bias == model.bias and (m.weights == model.weights).all() for m in same)
+    other = fit([(i, t if i in judged else "quite different") for i, t in rows])
+    assert other.bias != model.bias
+    scored = toxicity.score(docs_of(spark, [rows[0]] * 3 + [(1, "long " * 400_000)]), model).collect()
+    assert len(scored) == 4 and len({r.score for r in scored if r.doc_id == 0}) == 1 and all(0 <= r.score <= 1 for r in scored)
+
+
+def test_toxicity_samples_are_bounded(spark):
+    rows, labels, truth = toxic_tables(1500)
+    docs, said = docs_of(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.fit(docs, said, max_positive=100, max_unlabelled=500)
+    again = toxicity.fit(docs.repartition(7), said.repartition(3), max_positive=100, max_unlabelled=500)
+    assert model.bias == again.bias and (model.weights == again.weights).all()
+    held = [r for r in toxicity.score(docs, model).collect() if zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
+    assert sum((r.score >= 0.5) == truth[r.doc_id] for r in held) / len(held) > 0.9
+
+
 def test_toxicity_without_positives(spark):
     model = toxicity.fit(docs_of(spark, [(1, "x")]), spark.createDataFrame([(1, 0)], "doc_id long, toxic int"))
     out = toxicity.score(docs_of(spark, [(1, "x"), (2, None)]), model)
@@ -221,6 +247,92 @@ def test_pseudonyms(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def email_by_hand(m, key):
+    local, domain = m.split("@")
+    half = len(local) // 2
+    a, b = local[:half], local[half:]
+
+    def shifted(x, digest):
+        out = ""
+        for i, c in enumerate(x):
+            by = digest[i % 32]
+            for first, size in (("a", 26), ("A", 26), ("0", 10)):
+                if ord(first) <= ord(c) < ord(first) + size:
+                    c = chr((ord(c) - ord(first) + by) % size + ord(first))
+                    break
+            out += c
+        return out
+
+    for i in range(1, pii.ROUNDS + 1):
+        digest = hashlib.sha256(f"{key}|email|{len(local)}|{i}|{b if i % 2 else a}".encode()).digest()
+        a, b = (shifted(a, digest), b) if i % 2 else (a, shifted(b, digest))
+    return f"{a}{b}@{domain}"
+
+
+def pseudonym_by_hand(kind, m, key):
+    """The pseudonym of one valid value, in plain arithmetic."""
+    digits = re.sub(r"\D", "", m)
+    refill = lambda new: re.sub(r"\d", lambda _, it=iter(new): next(it), m)
+    if kind == "email":
+        return email_by_hand(m, key)
+    if kind == "phone":
+        local = digits[-10:]
+        a, b = feistel_by_hand(int(local[:5]), int(local[5:]), 10**5, 10**5, key, "phone")
+        return refill(digits[:-10] + f"{a:05d}{b:05d}")
+    if kind == "ip":
+        o = [int(x) for x in m.split(".")]
+        a, b = feistel_by_hand(o[0] * 256 + o[1], o[2] * 256 + o[3], 1 << 16, 1 << 16, key, "ip")
+        return f"{a >> 8}.{a % 256}.{b >> 8}.{b % 256}"
+    if kind == "ssn":
+        areas = [x for x in range(1, 900) if x != 666]
+        area, group, serial = map(int, m.split("-"))
+        a, b = feistel_by_hand(areas.index(area) * 99 + group - 1, serial - 1, 898 * 99, 9999, key, "ssn")
+        return f"{areas[a // 99]:03d}-{a % 99 + 1:02d}-{b + 1:04d}"
+    if kind == "date":
+        form = "%d.%m.%Y" if "." in m else "%Y/%m/%d" if "/" in m else "%Y-%m-%d"
+        zero = datetime.date(1800, 1, 1)
+        day = (datetime.datetime.strptime(m, form).date() - zero).days
+        a, b = feistel_by_hand(day // 773, day % 773, 189, 773, key, "date")
+        return (zero + datetime.timedelta(a * 773 + b)).strftime(form)
+    n = len(digits) - 1
+    a, b = feistel_by_hand(int(digits[: n // 2]), int(digits[n // 2 : n]), 10 ** (n // 2), 10 ** (n - n // 2), key, f"card{n}")
+    payload = f"{a:0{n // 2}d}{b:0{n - n // 2}d}"
+    return refill(payload + next(c for c in "0123456789" if luhn(payload + c)))
+
+
+def test_pseudonyms_by_hand(spark):
+    """Random values of every kind, in running text, against plain arithmetic; and back."""
+    rng = random.Random(3)
+    number = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+
+    def value(kind):
+        if kind == "email":
+            return "".join(rng.choice("abcxyzABC0189._%+-") for _ in range(rng.randint(1, 40))).lstrip("._%+-") + "q@mail.example.org"
+        if kind == "phone":
+            p = number(10)
+            return rng.choice(("", "+1 ", "+1-")) + rng.choice((f"({p[:3]}) {p[3:6]}-{p[6:]}", f"{p[:3]}.{p[3:6]}.{p[6:]}", f"{p[:3]}-{p[3:6]}-{p[6:]}"))
+        if kind == "ip":
+            return ".".join(str(rng.choice((0, 9, 10, 99, 100, 255, rng.randrange(256)))) for _ in range(4))
+        if kind == "ssn":
+            return f"{rng.choice((1, 665, 667, 899)):03d}-{rng.choice((1, 50, 99)):02d}-{rng.choice((1, 5000, 9999)):04d}"
+        if kind == "date":
+            d = datetime.date(1800, 1, 1) + datetime.timedelta(rng.choice((0, 146_096, rng.randrange(146_097))))
+            return d.strftime(rng.choice(("%Y-%m-%d", "%Y/%m/%d", "%d.%m.%Y")))
+        payload = number(rng.randint(12, 18))
+        whole = payload + next(c for c in "0123456789" if luhn(payload + c))
+        return whole if rng.random() < 0.5 or len(whole) != 16 else "-".join(re.findall("....", whole))
+
+    rows, want = [], {}
+    for i in range(300):
+        found = [(k, value(k)) for k in rng.choices(("email", "phone", "ip", "ssn", "date", "card"), k=rng.randint(1, 4))]
+        glue = [rng.choice(("see ", "; and ", "\n", "(so) ")) for _ in found]
+        rows.append((i, "".join(g + v + " end" for g, (_, v) in zip(glue, found, strict=True))))
+        want[i] = "".join(g + pseudonym_by_hand(k, v, "key") + " end" for g, (k, v) in zip(glue, found, strict=True)), len(found)
+    out = pii.pseudonymise(docs_of(spark, rows), "key")
+    assert {r.doc_id: (r.text, r.n_replaced) for r in out.collect()} == want
+    assert {r.doc_id: r.text for r in pii.pseudonymise(out, "key", inverse=True).collect()} == dict(rows)
+
+
 def test_pseudonyms_of_long_texts(spark):
     """No pattern may recurse once a character or a repeated part."""
     n = 1_000_000

@@ -1,21 +1,24 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
 Confirmed toxic rows are the positives; the unlabelled sample is drawn from the
-same population with labels hidden. A linear model over hashed distinct words is
-fitted by proximal gradient steps on the class-prior-corrected risk
+whole table, judged or not, with labels hidden. Rows held out are in neither. A
+linear model over hashed distinct words is fitted by proximal gradient steps on the
+class-prior-corrected risk
 
     prior * E_pos[loss(f)] + max(0, E_unl[loss(-f)] - prior * E_pos[loss(-f)])
 
 and whenever the second term would turn negative the step goes back up on it
 instead, which is what keeps the estimator from fitting the positives by heart.
-Both samples are bounded (``max_positive``, ``max_unlabelled`` labelled rows, taken
-by hash of the id); the prior is counted over all labelled rows, and scoring reads
-every whole text, in groups of about a megabyte.
+Both samples are bounded (``max_positive``, ``max_unlabelled`` ids, taken by hash);
+the prior is counted over all judged ids, and scoring reads every whole text, in
+groups of about a megabyte.
 
 Edge cases: null and empty texts get the score of the bias alone; labels that are
 null count as neither class; rows with a null doc_id are scored and never learnt
-from; without any positive the model gives every text the score 0; an empty table
-gives an empty result; other columns pass through.
+from; without any positive the model gives every text the score 0; rows that repeat
+a doc_id are each scored, and one of them, of the least bytes of word hashes, is
+learnt from; an id judged both ways is toxic; an empty table gives an empty result;
+other columns pass through.
 """
 
 from __future__ import annotations
@@ -31,6 +34,7 @@ from pyspark.sql.types import DoubleType
 from tidegrid.llm._text import PUNCTUATED, chunks, words
 
 BITS, MAX_POSITIVE, MAX_UNLABELLED = 18, 4_000, 12_000
+_SPARE = 8  # candidates by hash for each place in a sample
 
 
 @dataclass
@@ -55,7 +59,7 @@ def _buckets(bits: int):
             for n, of, bucket in _features(batch.column("text"), bits):
                 at = np.searchsorted(of, np.arange(n + 1))
                 out += [bucket[b:e].astype("<i4").tobytes() for b, e in zip(at[:-1], at[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("positive"), pa.array(out, pa.binary())], ["positive", "buckets"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("positive"), pa.array(out, pa.binary())], ["doc_id", "positive", "buckets"])
 
     return run
 
@@ -108,18 +112,27 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def _sample(ids: DataFrame, n: int, most: int) -> DataFrame:
+    """At most most of about n ids, in an order by hash; hashes too high to be chosen go before the sort."""
+    turn = F.xxhash64(F.lit("sample"), "doc_id")
+    low = F.pmod(turn, F.lit(1 << 32)) < int((1 << 32) * min(1, _SPARE * most / max(1, n)))
+    return ids.where(low).orderBy(turn, "doc_id").limit(most)
+
+
 def fit(docs: DataFrame, labels: DataFrame, bits: int = BITS, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> Model:
     """labels: doc_id, toxic (0 or 1, 1 confirmed toxic). At most max_positive + max_unlabelled rows of hashed words reach the driver."""
-    known = labels.select("doc_id", "toxic").where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id")))
-    total, toxic = known.agg(F.count("*"), F.count_if(F.col("toxic") == 1)).first()
+    known = labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(F.col("toxic") == 1).alias("toxic"))
+    total, toxic = known.agg(F.count("*"), F.count_if("toxic")).first()
     if not toxic:
         return Model(-np.inf, np.zeros(1 << bits, np.float32))
-    turn = F.xxhash64(F.lit("sample"), "doc_id")
-    sample = known.where("toxic = 1").select("doc_id", F.lit(True).alias("positive")).orderBy(turn, "doc_id").limit(max_positive)
-    sample = sample.unionByName(known.select("doc_id", F.lit(False).alias("positive")).orderBy(turn, "doc_id").limit(max_unlabelled))
+    ids = docs.select("doc_id").where("doc_id is not null").where(~held_out(F.col("doc_id")))
+    sample = _sample(known.where("toxic").select("doc_id"), toxic, max_positive).withColumn("positive", F.lit(True))
+    hidden = _sample(ids.distinct(), ids.count(), max_unlabelled)
+    sample = sample.unionByName(hidden.select("doc_id", F.lit(False).alias("positive")))
     # The sample's size is a parameter, so the broadcast is bounded.
     chosen = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")
-    got = chosen.select("positive", "text").mapInArrow(_buckets(bits), "positive boolean, buckets binary").toArrow()
+    hashed = chosen.select(F.col("doc_id").cast("string"), "positive", "text").mapInArrow(_buckets(bits), "doc_id string, positive boolean, buckets binary")
+    got = hashed.groupBy("doc_id", "positive").agg(F.min("buckets").alias("buckets")).orderBy("positive", "doc_id").toArrow()  # one row an id
     sides = {True: [], False: []}
     for positive, raw in zip(got.column("positive").to_pylist(), got.column("buckets").to_pylist(), strict=True):
         sides[positive].append(np.frombuffer(raw, "<i4"))
