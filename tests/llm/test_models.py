@@ -56,17 +56,15 @@ def test_held_out_labels_are_not_read(spark):
     assert a.bias == b.bias and (a.weights == b.weights).all()
 
 
-def test_toxicity_learns_from_texts_without_labels(spark):
-    """Unjudged texts shape the model, held-out ones do not; a repeated row counts once."""
+def test_toxicity_of_repeated_rows(spark):
+    """Held-out and unjudged texts do not shape the model; a repeated row counts once."""
     rows, labels, _ = toxic_tables(400)
-    judged, said = {i for i, _ in labels}, spark.createDataFrame(labels, "doc_id long, toxic int")
+    said = spark.createDataFrame(labels, "doc_id long, toxic int")
     fit = lambda r: toxicity.fit(docs_of(spark, r), said)
     held = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
     model = fit(rows)
     same = [fit([(i, "quite different" if held(i) else t) for i, t in rows]), fit([*rows, *[rows[1]] * 300, (None, "x")])]
     assert all(m.bias == model.bias and (m.weights == model.weights).all() for m in same)
-    other = fit([(i, t if i in judged else "quite different") for i, t in rows])
-    assert other.bias != model.bias
     scored = toxicity.score(docs_of(spark, [rows[0]] * 3 + [(1, "long " * 400_000)]), model).collect()
     assert len(scored) == 4 and len({r.score for r in scored if r.doc_id == 0}) == 1 and all(0 <= r.score <= 1 for r in scored)
 

@@ -1,8 +1,8 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
 Confirmed toxic rows are the positives; the unlabelled sample is drawn from the
-whole table, judged or not, with labels hidden. Rows held out are in neither. A
-linear model over hashed distinct words is fitted by proximal gradient steps on the
+judged rows with labels hidden, as one from the whole table rejects more clean texts
+where positives are few. Rows held out are in neither. A linear model over hashed distinct words is fitted by proximal gradient steps on the
 class-prior-corrected risk
 
     prior * E_pos[loss(f)] + max(0, E_unl[loss(-f)] - prior * E_pos[loss(-f)])
@@ -125,9 +125,8 @@ def fit(docs: DataFrame, labels: DataFrame, bits: int = BITS, max_positive: int
     total, toxic = known.agg(F.count("*"), F.count_if("toxic")).first()
     if not toxic:
         return Model(-np.inf, np.zeros(1 << bits, np.float32))
-    ids = docs.select("doc_id").where("doc_id is not null").where(~held_out(F.col("doc_id")))
     sample = _sample(known.where("toxic").select("doc_id"), toxic, max_positive).withColumn("positive", F.lit(True))
-    hidden = _sample(ids.distinct(), ids.count(), max_unlabelled)
+    hidden = _sample(known.select("doc_id"), total, max_unlabelled)
     sample = sample.unionByName(hidden.select("doc_id", F.lit(False).alias("positive")))
     # The sample's size is a parameter, so the broadcast is bounded.
     chosen = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")
