@@ -63,6 +63,25 @@ def test_blocks_round_trip(lists, secret):
             codec.decode(raw)
 
 
+#: Blocks whose last interval is so narrow that one digit more than its lower end lies beyond it.
+NARROW = (
+    [9883413, 6069909, 5763795, 5172779, 5193206, 5244945, 2047657, 4466279, 2730653, 8379045, 261916, 7494637, 319286, 7372887, 4857252, 5438106],
+    [9038413, 7894832, 3274258, 3421999, 7894472, 9648781, 6337053, 7244494, 7710074, 3848525, 4039469, 2033490, 10009574, 1937024, 779187, 4670706],
+    [10269219, 9203605, 4121674, 5772167, 6050062, 3982273, 368714, 5934821, 4062271, 9076533, 9159420, 6948388, 8420173, 1065107, 9667639, 5338916],
+)
+
+
+@pytest.mark.parametrize("copies", [1, 30])
+def test_codes_that_end_in_a_narrow_interval(copies):
+    raw = codec.encode([codec.Block(np.array(x, np.int32), -T0, False) for x in NARROW] * copies)
+    assert [b.samples.tolist() for b in codec.decode(raw)] == [*NARROW] * copies
+    # Whatever stands where the padding is, the last sample holds.
+    for r in raw[: len(NARROW)]:
+        kept = r.rstrip(bytes([codec.PAD]))
+        for pad in (0, 255):
+            assert codec.decode([kept + bytes([pad]) * (len(r) - len(kept))], check=False)[0].samples.tolist() in NARROW
+
+
 def test_damaged_blocks():
     raw = codec.encode([codec.Block(wave(500).astype(np.int32), -T0, True)])[0]
     flipped = bytearray(raw)
