@@ -1,13 +1,14 @@
 """Operators, store, data source and stream on Spark."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tidegrid import Reader, Writer
 from tidegrid.functions import crypto
 from tidegrid.functions import timegrid as tg
-from tidegrid.model import WriteConflictError
+from tidegrid.model import FormatError, WriteConflictError
 from tidegrid.operators import catalog, ingest, read
 from tidegrid.sources.native import half_up
 from tidegrid.sources.store import Store, export_session, import_session
@@ -186,6 +187,17 @@ def test_checksum_and_cipher_columns(spark):
     assert (got[0].c, bytes(got[0].d)) == (crypto.crc(bytes(range(32))), bytes(range(32))) and got[1].c is None and got[1].d is None
 
 
+def test_ciphers_run_over_whole_batches(monkeypatch):
+    calls, key, one = [], bytes(range(16)), crypto.aes_ecb
+    monkeypatch.setattr(crypto, "aes_ecb", lambda data, *rest: calls.append(len(data)) or one(data, *rest))
+    plain = pa.array([None if i % 7 == 3 else bytes([i % 256]) * 16 * (i % 4) for i in range(1000)], pa.binary())
+    locked = crypto.aes_ecb_column(key, True).func(plain)
+    assert locked.to_pylist() == [None if x is None else one(x, key, True) for x in plain.to_pylist()]
+    assert crypto.aes_ecb_column(key, False).func(locked).equals(plain) and len(calls) <= 2
+    with pytest.raises(FormatError):  # two halves are no block
+        crypto.aes_ecb_column(key, True).func(pa.array([b"8 bytes.", b"8 bytes."]))
+
+
 def test_stream(spark, tmp_path):
     store, late = Store(spark, str(tmp_path / "st")), []
     source = tmp_path / "in"
